@@ -21,3 +21,17 @@ def estimated_size(df: DataFrame) -> int:
 def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """Hint a broadcast only when the estimate is under ``limit_bytes``."""
     return F.broadcast(df) if estimated_size(df) <= limit_bytes else df
+
+
+def local_table(spark, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small dimension table built JVM-side (no Python RDD, exact size stats).
+
+    ``ddl`` is "name TYPE, ..."; rows are tuples in that column order.
+    """
+    from pyspark.sql import types as T
+    schema = T._parse_datatype_string(ddl)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)])
+               for r in rows]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -50,31 +50,52 @@ def _is_clean(p: Column) -> Column:
             & (F.size(p["w"]) == 1) & p["w"][0].isNotNull())
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    ``fn`` may use its argument many times without copying the (expensive)
+    expression; Catalyst substitutes projections into filters, and without
+    this binding a parse referenced n times would be evaluated n times.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _attempt(ok1, ok2, raw) -> Column:
+    return F.struct(ok1.alias("ok1"), ok2.alias("ok2"), raw.cast("string").alias("raw"))
+
+
 def parse_total(text: Column) -> Column:
     """Struct(status, score, repaired) for one judge reply.
 
     status is ``ok`` (object with a numeric total), ``no_score`` (an object
     without a usable total) or ``bad`` (not exactly one JSON object, also after
-    the backslash repair). NULL text gives a NULL struct.
+    the backslash repair). NULL text gives a NULL struct. The clean text is
+    parsed once; the repaired text only when the clean parse failed.
     """
-    cleaned = strip_fence(text)
-    first = _wrapped(cleaned)
-    second = _wrapped(escape_repair(cleaned))
-    ok1 = _is_clean(first)
-    ok2 = _is_clean(second)
-    chosen = F.when(ok1, first).when(ok2, second)
-    raw_score = chosen["w"][0][TOTAL_KEY]
-    num = F.expr("try_cast(NULL AS DOUBLE)")  # typed NULL
-    score = F.nanvl(raw_score.try_cast("double"), num)
-    parsed = ok1 | ok2
-    status = (F.when(~parsed, F.lit(STATUS_BAD))
-              .when(score.isNull(), F.lit(STATUS_NO_SCORE))
-              .otherwise(F.lit(STATUS_OK)))
-    return F.when(text.isNotNull(), F.struct(
-        status.alias("status"),
-        F.when(parsed, score).alias("score"),
-        (~ok1 & ok2).alias("repaired"),
-    ))
+    def second_try(c):
+        return bind(_wrapped(escape_repair(c)), lambda p2: bind(
+            F.coalesce(_is_clean(p2), F.lit(False)),
+            lambda ok2: _attempt(F.lit(False), ok2, F.when(ok2, p2["w"][0][TOTAL_KEY]))))
+
+    def tries(c):
+        return bind(_wrapped(c), lambda p1: F.when(
+            F.coalesce(_is_clean(p1), F.lit(False)),
+            _attempt(F.lit(True), F.lit(False), p1["w"][0][TOTAL_KEY])).otherwise(second_try(c)))
+
+    def finish(r):
+        return bind(F.nanvl(r["raw"].try_cast("double"), F.lit(None).cast("double")), lambda score: F.struct(
+            F.when(~(r["ok1"] | r["ok2"]), F.lit(STATUS_BAD))
+             .when(score.isNull(), F.lit(STATUS_NO_SCORE))
+             .otherwise(F.lit(STATUS_OK)).alias("status"),
+            score.alias("score"),
+            r["ok2"].alias("repaired")))
+
+    return F.when(text.isNotNull(), bind(bind(strip_fence(text), tries), finish))
+
+
+def with_parsed_total(df, text: Column, out: str = "judge"):
+    """Add the ``parse_total`` struct of ``text`` as column ``out``."""
+    return df.withColumn(out, parse_total(text))
 
 
 def extract_embedded_block(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.judge_parse import STATUS_BAD, STATUS_OK, parse_total
+from ..functions.judge_parse import STATUS_BAD, STATUS_OK, with_parsed_total
 
 GROUP_COL = "lr_answer_bronze_id"
 ALIAS_COL = "answerer_llm_alias"
@@ -59,7 +59,7 @@ def clean_required(df: DataFrame) -> DataFrame:
 
 def with_judge(df: DataFrame, source: str = "eval_result") -> DataFrame:
     """Parse the judge output once into a ``judge`` struct (status, score, repaired)."""
-    return df.withColumn("judge", parse_total(F.col(source)))
+    return with_parsed_total(df, F.col(source), "judge")
 
 
 def remove_poisoned_groups(df: DataFrame, group_col: str = GROUP_COL) -> DataFrame:

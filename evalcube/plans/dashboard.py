@@ -28,8 +28,29 @@ def scored_records(spark: SparkSession, sf_dir: str, replicas: int = 1) -> DataF
     return scored_from(spark, cleaned_records(spark, sf_dir, replicas))
 
 
+SLIM_COLUMNS = ["id", C.GROUP_COL, C.ALIAS_COL, "label_task", "label_domain", "label_level",
+                "quality", "cost", "cost_status", "prompt_tokens", "completion_tokens"]
+
+
 def scored_slim(spark: SparkSession, sf_dir: str, replicas: int = 1) -> DataFrame:
-    """Only the columns the analytics read: keeps shuffles and caches narrow."""
-    return scored_records(spark, sf_dir, replicas).select(
-        "id", C.GROUP_COL, C.ALIAS_COL, "label_task", "label_domain", "label_level",
-        "quality", "cost", "prompt_tokens", "completion_tokens")
+    """The scored fact table with the columns the analytics read.
+
+    Written once per application to the shared work folder (see
+    ``session.materialize``): the cube, profiles and frontier all read it, so
+    the parse + poisoned-group anti join + price join run once.
+    """
+    from ..session import materialize
+    return materialize(spark, lambda: scored_records(spark, sf_dir, replicas).select(*SLIM_COLUMNS),
+                       ("scored", sf_dir, replicas), "scored")
+
+
+def cube_stage(scored: DataFrame, active: str = "first_model") -> dict[str, DataFrame]:
+    """Cube -> dense template -> candidates -> per-cell fronts (all lazy)."""
+    from ..operators import cube as K
+    from ..operators import pareto as PA
+    cube = K.tld_cube(scored)
+    ids = K.model_ids(scored)
+    dense = K.dense_cube(scored, cube, ids)
+    cands = PA.cell_candidates(dense, ids, active)
+    fronts = PA.with_front_size(PA.efficient_in_cells(cands))
+    return {"cube": cube, "dense": dense, "ids": ids, "candidates": cands, "fronts": fronts}

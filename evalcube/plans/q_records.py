@@ -10,7 +10,7 @@ from ..operators import profile as P
 from ..operators.cost import token_usage
 from ..sources.fixtures import eval_response_shapes, judged_records
 from ..sources.tables import read_table
-from .dashboard import cleaned_records, scored_records
+from .dashboard import cleaned_records, scored_records, scored_slim
 from .oracle_base import with_rec, with_scored, with_text
 from .registry import query
 

@@ -58,3 +58,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared work folder for one written table."""
     base = work_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialize(spark: SparkSession, df, key: tuple, name: str):
+    """Write ``df`` (a DataFrame or a function building it) once to the shared
+    work folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from the written files, not
+    from the sources) and lets every consumer of a fact table share one
+    computation. Memoised per application and ``key``.
+    """
+    app = spark.sparkContext.applicationId
+    full = (app,) + tuple(key)
+    path = _MATERIALIZED.get(full)
+    if path is None:
+        path = scratch_path(spark, name)
+        (df() if callable(df) else df).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[full] = path
+    return spark.read.parquet(path)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions.joins import local_table
 from .fixtures import fixture_registry_rows
 
+REGISTRY_DDL = ("key STRING, id STRING, alias STRING, dollar_per_input_token DOUBLE, "
+                "dollar_per_output_token DOUBLE")
+
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("key", T.StringType(), False),
     T.StructField("id", T.StringType(), True),
@@ -39,7 +43,9 @@ def model_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
     No endpoint or credential fields are kept.
     """
     if path is None:
-        return spark.createDataFrame(fixture_registry_rows(), REGISTRY_SCHEMA)
+        rows = [(r["key"], r["id"], r["alias"], r["dollar_per_input_token"], r["dollar_per_output_token"])
+                for r in fixture_registry_rows()]
+        return local_table(spark, rows, REGISTRY_DDL)
     entry = ("MAP<STRING, STRUCT<id: STRING, alias: STRING, price: STRUCT<"
              "dollar_per_input_token: DOUBLE, dollar_per_output_token: DOUBLE>>>")
     return (spark.read.text(path, wholetext=True)
@@ -50,4 +56,4 @@ def model_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def alias_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ALIAS_TO_KEY, "alias STRING, key STRING")
+    return local_table(spark, ALIAS_TO_KEY, "alias STRING, key STRING")
