@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clean import ALIAS_COL
 from .cube import DOMAINS, LEVELS, TASKS, code_num
@@ -79,7 +81,18 @@ def best_model(matrix: DataFrame, mode: str = "quality", value: str = "quality_l
     return best.select(
         "row_key", "T", "L", "D", F.col("b")[ALIAS_COL].alias(ALIAS_COL),
         F.round(F.col("b.metric"), 9).alias("best_value"),
-        F.format_string("%s\n%.3f", F.col("b")[ALIAS_COL], F.col("b.metric")).alias("cell_label"))
+        F.concat(F.col("b")[ALIAS_COL], F.lit("\n"), fixed3(F.col("b.metric"))).alias("cell_label"))
+
+
+@F.pandas_udf(T.StringType())
+def fixed3(v: pd.Series) -> pd.Series:
+    """Three decimals, correctly rounded from the binary value (Python/C rule).
+
+    Spark's ``format_string`` rounds half-up on the shortest decimal form and
+    ``bround`` half-even on it, so 0.0625 and 0.6475 would differ from the
+    display rule; this helper runs on the small per-cell result only.
+    """
+    return v.map(lambda x: None if pd.isna(x) else f"{x:.3f}")
 
 
 def row_order(df: DataFrame) -> DataFrame:

@@ -126,3 +126,49 @@ def eval_response_shapes(df: DataFrame) -> DataFrame:
         .when(k == 2, F.to_json(F.struct(r.alias("content"))))
         .otherwise(r))
     return df.withColumn("eval_response", F.when(r.isNotNull(), shaped))
+
+
+# Reply shapes of the criteria fixture, chosen by id mod 3.
+REPLY_SHAPES = ["json_array", "flat_objects", "markdown"]
+
+
+def criteria_score_expr(e: Column, k: Column) -> Column:
+    """Score (0-10) the fixture judge gives criterion ``k`` (1-based) of record ``e``."""
+    return ((e + 3 * k) % 11).cast("int")
+
+
+def criteria_replies(df: DataFrame) -> DataFrame:
+    """Multi-criteria judge replies for records routed to a rubric.
+
+    Criterion k of the record's template scores (id + 3k) mod 11; when
+    id mod 7 = 0 the last criterion is left out of the reply. The reply is a
+    JSON array (id mod 3 = 0), flat single-quoted objects amid prose (1) or a
+    Markdown table (2). Also returns the JSON object form ``judge_object``
+    with every criterion key, the total and a comment.
+    """
+    from ..operators.prompts import criteria_of, template_of
+    e = F.col("id")
+    task = F.try_element_at("label_task", F.lit(1))
+    out = df.withColumn("template", template_of(task)).filter(F.col("template").isNotNull())
+    crit = criteria_of(F.col("template"))
+    n = F.size(crit)
+    kept = F.filter(F.transform(crit, lambda c, i: F.struct(
+        c["criterion"].alias("name"), criteria_score_expr(e, i + 1).alias("s"), (i + 1).alias("k"))),
+        lambda x: ~((x["k"] == n) & (e % 7 == 0)))
+    as_json = F.concat(F.lit("["), F.array_join(F.transform(kept, lambda x: F.format_string(
+        '{"기준": "%s", "점수": %d, "피드백": "ok"}', x["name"], x["s"])), ", "), F.lit("]"))
+    as_flat = F.concat(F.lit("Scores follow.\n"), F.array_join(F.transform(kept, lambda x: F.format_string(
+        "{'criteria_name': '%s', 'score': %d, 'feedback': 'ok'}", x["name"], x["s"])), "\n"),
+        F.lit("\nEnd of scores."))
+    as_md = F.concat(F.lit("Result table:\n| 기준 | 점수 | 피드백 |\n|---|---|---|\n"),
+                     F.array_join(F.transform(kept, lambda x: F.format_string(
+                         "| %s | %d | ok |", x["name"], x["s"])), "\n"), F.lit("\n\nDone."))
+    shape = e % 3
+    reply = F.when(shape == 0, as_json).when(shape == 1, as_flat).otherwise(as_md)
+    obj = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.format_string(
+        '"%s": %d', x["name"], x["s"])), ", "), F.lit(', "총점": '),
+        F.coalesce(F.col("judge.score").cast("string"), F.lit("null")), F.lit(', "평가의견": "ok"}'))
+    return out.select("id", "answerer_llm_alias", "lr_answer_bronze_id", "template",
+                      F.element_at(F.array(*[F.lit(s) for s in REPLY_SHAPES]), (shape + 1).cast("int"))
+                      .alias("shape"),
+                      reply.alias("reply"), obj.alias("judge_object"))
