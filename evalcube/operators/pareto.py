@@ -91,7 +91,8 @@ def routing_table(assign: DataFrame, value: str, agg: str = "names") -> DataFram
     Missing cells stay NULL.
     """
     if agg == "names":
-        fn = F.array_join(F.sort_array(F.collect_list(value)), "\n")
+        names = F.sort_array(F.collect_list(value))
+        fn = F.when(F.size(names) > 0, F.array_join(names, "\n"))
     else:
         fn = F.round(F.sum(value), 9)
     piv = assign.groupBy("T", "L").pivot("D", DOMAINS).agg(fn)
