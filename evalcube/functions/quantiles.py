@@ -23,7 +23,15 @@ from .joins import broadcast_if_small
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str], buckets: int = 256, accuracy: int = 10000) -> DataFrame:
-    """One row per group: ``keys`` plus one column per name in ``names`` (NULL for an empty group)."""
+    """One row per group: ``keys`` plus one column per name in ``names`` (NULL for an empty group).
+
+    With no keys the whole table is one group (computed the same way: still
+    no single buffer of all values).
+    """
+    if not keys:
+        one = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, names,
+                              buckets, accuracy)
+        return one.drop("_all")
     v = F.col(value).cast("double")
     base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
@@ -60,7 +68,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                                           * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
     wide = interp.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
                                        for i, nm in enumerate(names)])
-    if not keys:
-        return wide
     groups = df.select(*keys).distinct()
     return groups.join(wide, keys, "left")

@@ -114,3 +114,47 @@ def exact_frontier_local(cells: list[list[tuple[int, int]]]) -> list[tuple[int,
     for opts in cells:
         front = prune([(a + c, b + q) for a, b in front for c, q in opts])
     return front
+
+
+def thin_frontier(points: DataFrame, cost_gap: float = 0.01, quality_gap: float = 0.5,
+                  buckets: int = 16) -> DataFrame:
+    """Points of a frontier the chart keeps: the first point, then every point at
+    least ``cost_gap`` dearer or ``quality_gap`` better than the last kept one.
+
+    ``points`` has ``step`` = 0..n-1 with cost and quality rising along it. The
+    next kept point after i is the first j with c_j >= c_i + gap or q_j >= q_i +
+    gap; both are counts of points below a threshold, taken by one distributed
+    running count over points and thresholds. The kept chain from step 0 then
+    comes from pointer doubling: round k adds next^(2^k) of the chain found so
+    far and squares the jump table (equi-joins, lineage cut every round).
+    """
+    from ..session import checkpoint_df
+    spark = points.sparkSession
+    points = checkpoint_df(points)
+    pts = points.select("step", F.round(F.col("cost") * COST_SCALE).cast("long").alias("c"),
+                        F.round(F.col("quality") * QUALITY_SCALE).cast("long").alias("q"))
+    n = pts.count()
+    gc, gq = round(cost_gap * COST_SCALE), round(quality_gap * QUALITY_SCALE)
+
+    def first_at_least(col: str, gap: int) -> DataFrame:
+        probes = pts.select(F.col("step").alias("src"), (F.col(col) + gap).alias("v"),
+                            F.lit(0).alias("kind"), F.lit(0).alias("w"))
+        marks = pts.select(F.lit(None).cast("long").alias("src"), F.col(col).alias("v"),
+                           F.lit(1).alias("kind"), F.lit(1).alias("w"))
+        counted = running_totals(probes.unionByName(marks), "v", ["kind", "src"], ["w"],
+                                 descending=False, buckets=buckets)
+        return counted.filter("kind = 0").select(F.col("src").alias("node"), F.col("cum_w").alias(f"n_{col}"))
+
+    nxt = first_at_least("c", gc).join(first_at_least("q", gq), "node").select(
+        "node", F.least("n_c", "n_q").alias("nxt"))
+    jump = checkpoint_df(nxt.withColumn("nxt", F.when(F.col("nxt") < n, F.col("nxt"))))
+    chain = checkpoint_df(spark.range(1).select(F.lit(0).cast("long").alias("node")))
+    k = 1
+    while k < max(n, 2):
+        step_ahead = chain.join(jump, "node").select(F.col("nxt").alias("node")).filter(F.col("node").isNotNull())
+        chain = checkpoint_df(chain.unionByName(step_ahead).distinct())
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = checkpoint_df(a.join(b, F.col("a.nxt") == F.col("b.node"), "left")
+                             .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt")))
+        k *= 2
+    return points.join(chain.withColumnRenamed("node", "step"), "step", "left_semi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .clean import ALIAS_COL
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -48,34 +49,41 @@ def group_size_hist(df: DataFrame, group_col: str) -> DataFrame:
 
 
 def quality_summary(df: DataFrame, value: str = "quality") -> DataFrame:
-    """count, mean, std, min, max, median per model, half-even rounded to 3 places."""
+    """count, mean, std, min, max, median per model, half-even rounded to 3 places.
+
+    The median comes from ``exact_quantiles`` (no group gathered in one buffer).
+    """
     v = F.col(value)
-    return df.groupBy(ALIAS_COL).agg(
+    stats = df.groupBy(ALIAS_COL).agg(
         F.count(v).alias("count"),
         F.bround(F.avg(v), 3).alias("mean"),
         F.bround(F.stddev_samp(v), 3).alias("std"),
         F.bround(F.min(v), 3).alias("min"),
         F.bround(F.max(v), 3).alias("max"),
-        F.bround(F.median(v), 3).alias("median"),
     )
+    med = exact_quantiles(df, [ALIAS_COL], value, [0.5], ["_median"])
+    return stats.join(med, ALIAS_COL, "left").select(
+        ALIAS_COL, "count", "mean", "std", "min", "max", F.bround("_median", 3).alias("median"))
 
 
 def value_percentiles(df: DataFrame, value: str, exact: bool = True,
                       accuracy: int = 10000) -> DataFrame:
     """mean, 5/25/50/75/95 % (linear interpolation) and max per model.
 
-    ``exact=False`` switches to ``percentile_approx`` (bounded memory per
-    group) for very large groups.
+    ``exact`` uses ``exact_quantiles``; ``exact=False`` reads the percentiles
+    off the ``percentile_approx`` sketch alone (one pass, bounded memory).
     """
     v = F.col(value)
+    agg = df.groupBy(ALIAS_COL).agg(F.avg(v).alias("mean"), F.max(v).alias("max"))
     if exact:
-        pct = F.percentile(v, F.array(*[F.lit(p) for p in PERCENTILES]))
+        pct = exact_quantiles(df, [ALIAS_COL], value, PERCENTILES, PCT_NAMES, accuracy=accuracy)
     else:
-        pct = F.percentile_approx(v, F.array(*[F.lit(p) for p in PERCENTILES]), accuracy)
-    agg = df.groupBy(ALIAS_COL).agg(F.avg(v).alias("mean"), pct.alias("_p"), F.max(v).alias("max"))
-    return agg.select(
+        p = F.percentile_approx(v, F.array(*[F.lit(x) for x in PERCENTILES]), accuracy)
+        pct = df.groupBy(ALIAS_COL).agg(p.alias("_p")).select(
+            ALIAS_COL, *[F.col("_p")[i].alias(n) for i, n in enumerate(PCT_NAMES)])
+    return agg.join(pct, ALIAS_COL, "left").select(
         ALIAS_COL, F.round("mean", 9).alias("mean"),
-        *[F.round(F.col("_p")[i], 9).alias(n) for i, n in enumerate(PCT_NAMES)],
+        *[F.round(n, 9).alias(n) for n in PCT_NAMES],
         F.round("max", 9).alias("max"))
 
 
@@ -120,10 +128,12 @@ def eval_coverage(df: DataFrame, result_col: str = "eval_result") -> DataFrame:
 def quality_overall(df: DataFrame, value: str = "quality") -> DataFrame:
     """describe() of one column: count, mean, std, min, quartiles, max."""
     v = F.col(value)
-    p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    agg = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                 F.min(v).alias("min"), p.alias("_p"), F.max(v).alias("max"))
-    return agg.select("count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"),
-                      F.round("min", 9).alias("min"), F.round(F.col("_p")[0], 9).alias("p25"),
-                      F.round(F.col("_p")[1], 9).alias("p50"), F.round(F.col("_p")[2], 9).alias("p75"),
-                      F.round("max", 9).alias("max"))
+    one = df.withColumn("_all", F.lit(0))
+    agg = one.groupBy("_all").agg(F.count(v).alias("count"), F.avg(v).alias("mean"),
+                                  F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = exact_quantiles(one, ["_all"], value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    # One-row aggregate joined with the one-row quantile table on the constant key.
+    return agg.join(q, "_all").select(
+        "count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"),
+        F.round("min", 9).alias("min"), F.round("p25", 9).alias("p25"),
+        F.round("p50", 9).alias("p50"), F.round("p75", 9).alias("p75"), F.round("max", 9).alias("max"))

@@ -144,6 +144,20 @@ def _best_point(st):
         F.round(F.col("cost") + F.coalesce(best.select("bc").scalar(), F.lit(0.0)), 9).alias("cost"))
 
 
+def label_round(c, d: int):
+    """Chart labels: half-even on the 9-digit decimal form of the value.
+
+    Rounding the decimal form (not the binary one) makes labels identical in
+    every engine; a sum that prints as 1096.45 is labelled 1096.4.
+    """
+    return F.bround(F.round(c, 9), d)
+
+
+def _py_round(x: str, d: int) -> str:
+    # DuckDB twin of ``label_round``.
+    return f"CAST(round_even(CAST(round({x}, 9) AS DECIMAL(38, 9)), {d}) AS DOUBLE)"
+
+
 _BEST_POINT_SQL = """
 bestpt AS (
   SELECT round(b.quality + coalesce((SELECT sum(quality) FROM best), 0.0), 9) AS quality,
@@ -175,11 +189,11 @@ def gap_to_best(spark, sf_dir):
 @query("quality_cost_points", cube_sql(f"""
 , {_BEST_POINT_SQL.strip()}
 SELECT 'model' AS kind, answerer_llm_alias AS name, round(sum(cost), 9) AS cost,
-       round(sum(quality), 9) AS quality, round_even(sum(cost), 3) AS cost_label,
-       round_even(sum(quality), 1) AS quality_label
+       round(sum(quality), 9) AS quality, {_py_round("round(sum(cost), 9)", 3)} AS cost_label,
+       {_py_round("round(sum(quality), 9)", 1)} AS quality_label
 FROM cube GROUP BY 2
 UNION ALL
-SELECT 'best', 'highest quality', cost, quality, round_even(cost, 3), round_even(quality, 1) FROM bestpt""".lstrip()))
+SELECT 'best', 'highest quality', cost, quality, {_py_round("cost", 3)}, {_py_round("quality", 1)} FROM bestpt""".lstrip()))
 def quality_cost_points(spark, sf_dir):
     st = _stage(spark, sf_dir)
     models = st["cube"].groupBy(F.col(A).alias("name")).agg(
@@ -188,7 +202,7 @@ def quality_cost_points(spark, sf_dir):
     best = _best_point(st).select(F.lit("best").alias("kind"), F.lit("highest quality").alias("name"),
                                   "cost", "quality")
     return models.unionByName(best).withColumns({
-        "cost_label": F.bround("cost", 3), "quality_label": F.bround("quality", 1)})
+        "cost_label": label_round(F.col("cost"), 3), "quality_label": label_round(F.col("quality"), 1)})
 
 
 def _pivot_sql(value_expr: str) -> str:

@@ -73,3 +73,22 @@ def frontier_summary(spark, sf_dir):
     return h.agg(F.count(F.lit(1)).alias("n_points"), F.min("cost").alias("min_cost"),
                  F.max("cost").alias("max_cost"), F.min("quality").alias("min_quality"),
                  F.max("quality").alias("max_quality"))
+
+
+@query("frontier_thinned", cube_sql(HULL_CTES + """
+, pts AS (SELECT step, CAST(round(cost * 1000000000) AS BIGINT) AS c,
+                 CAST(round(quality * 1000000) AS BIGINT) AS q, cost, quality FROM hull_pts),
+nx AS (
+  SELECT a.step, min(b.step) AS nxt FROM pts a JOIN pts b
+    ON b.step > a.step AND (b.c - a.c >= 10000000 OR b.q - a.q >= 500000)
+  GROUP BY a.step
+),
+chain AS (
+  SELECT * FROM (
+    WITH RECURSIVE walk(step) AS (
+      SELECT CAST(0 AS BIGINT) UNION ALL SELECT n.nxt FROM walk w JOIN nx n ON n.step = w.step)
+    SELECT step FROM walk)
+)
+SELECT step, cost, quality FROM pts WHERE step IN (SELECT step FROM chain)"""))
+def frontier_thinned(spark, sf_dir):
+    return FR.thin_frontier(_hull(spark, sf_dir).select("step", "cost", "quality"))

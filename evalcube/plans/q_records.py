@@ -74,7 +74,7 @@ def judge_text_q(spark, sf_dir):
 @query("quality_score", with_scored("""
 SELECT id, answerer_llm_alias, quality FROM scored"""))
 def quality_score(spark, sf_dir):
-    return scored_records(spark, sf_dir).select("id", A, "quality")
+    return scored_slim(spark, sf_dir).select("id", A, "quality")
 
 
 # ---------------------------------------------------------------- projection, filters
@@ -163,7 +163,7 @@ SELECT id, answerer_llm_alias, round(cost, 12) AS cost,
             WHEN prompt_tokens IS NULL THEN 'no_usage' ELSE 'ok' END AS cost_status
 FROM scored"""))
 def response_cost(spark, sf_dir):
-    return scored_records(spark, sf_dir).select("id", A, F.round("cost", 12).alias("cost"), "cost_status")
+    return scored_slim(spark, sf_dir).select("id", A, F.round("cost", 12).alias("cost"), "cost_status")
 
 
 @query("dim_model_prices", with_scored("""
@@ -174,7 +174,7 @@ def dim_model_prices(spark, sf_dir):
     from ..sources.registry import model_registry
     reg = model_registry(spark).select(F.col("alias").alias(A), "dollar_per_input_token",
                                       "dollar_per_output_token")
-    counts = scored_records(spark, sf_dir).groupBy(A).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = scored_slim(spark, sf_dir).groupBy(A).agg(F.count(F.lit(1)).alias("n_rows"))
     return counts.join(F.broadcast(reg), A, "left").select(
         A, "dollar_per_input_token", "dollar_per_output_token", "n_rows")
 
@@ -208,7 +208,7 @@ def missing_profile(spark, sf_dir):
 @query("value_counts", with_scored("""
 SELECT answerer_llm_alias AS value, count(*) AS n FROM scored GROUP BY 1"""))
 def value_counts(spark, sf_dir):
-    return P.value_counts(scored_records(spark, sf_dir), A)
+    return P.value_counts(scored_slim(spark, sf_dir), A)
 
 
 def _dist_sql(expr: str, k: int | None = None, bottom: bool = False, unnest: bool = False) -> str:
@@ -260,7 +260,7 @@ def group_size_hist(spark, sf_dir):
 @query("distinct_models", with_scored("""
 SELECT DISTINCT answerer_llm_alias FROM scored"""))
 def distinct_models(spark, sf_dir):
-    return scored_records(spark, sf_dir).select(A).distinct()
+    return scored_slim(spark, sf_dir).select(A).distinct()
 
 
 @query("eval_coverage", with_rec("""
@@ -276,7 +276,7 @@ SELECT answerer_llm_alias, count(quality) AS count, round(avg(quality), 3) AS me
        round(max(quality), 3) AS max, round(median(quality), 3) AS median
 FROM scored GROUP BY 1"""))
 def quality_summary(spark, sf_dir):
-    return P.quality_summary(scored_records(spark, sf_dir))
+    return P.quality_summary(scored_slim(spark, sf_dir))
 
 
 def _pct_sql(col: str) -> str:
@@ -290,12 +290,12 @@ FROM scored GROUP BY 1""")
 
 @query("quality_percentiles", _pct_sql("quality"))
 def quality_percentiles(spark, sf_dir):
-    return P.value_percentiles(scored_records(spark, sf_dir), "quality")
+    return P.value_percentiles(scored_slim(spark, sf_dir), "quality")
 
 
 @query("cost_percentiles", _pct_sql("cost"))
 def cost_percentiles(spark, sf_dir):
-    return P.value_percentiles(scored_records(spark, sf_dir), "cost")
+    return P.value_percentiles(scored_slim(spark, sf_dir), "cost")
 
 
 @query("quality_histogram", with_scored("""
@@ -316,7 +316,7 @@ SELECT st.answerer_llm_alias, CAST(r.bin AS INTEGER) AS bin,
 FROM st CROSS JOIN (SELECT range AS bin FROM range(0, 30)) r
 LEFT JOIN c ON c.answerer_llm_alias = st.answerer_llm_alias AND c.bin = r.bin""".lstrip()))
 def quality_histogram(spark, sf_dir):
-    return P.histogram(scored_records(spark, sf_dir), "quality", 30)
+    return P.histogram(scored_slim(spark, sf_dir), "quality", 30)
 
 
 @query("quality_overall", with_scored("""
@@ -325,4 +325,4 @@ SELECT count(quality) AS count, round(avg(quality), 9) AS mean, round(stddev_sam
        round(quantile_cont(quality, 0.5), 9) AS p50, round(quantile_cont(quality, 0.75), 9) AS p75,
        round(max(quality), 9) AS max FROM scored"""))
 def quality_overall(spark, sf_dir):
-    return P.quality_overall(scored_records(spark, sf_dir))
+    return P.quality_overall(scored_slim(spark, sf_dir))

@@ -79,3 +79,9 @@ def materialize(spark: SparkSession, df, key: tuple, name: str):
         (df() if callable(df) else df).write.mode("overwrite").parquet(path)
         _MATERIALIZED[full] = path
     return spark.read.parquet(path)
+
+
+def checkpoint_df(df):
+    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``): cuts lineage."""
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 # Fixed values of the fixture: the five answering models and their token
 # prices in dollars (input, output), plus one alias without a price.
@@ -31,7 +31,7 @@ def _code(prefix: str, n: Column) -> Column:
 
 
 def _event_ids(spark: SparkSession, sf_dir: str, replicas: int) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events").select("event_id", "value")
+    ev = spread(read_table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
     if replicas <= 1:
         return ev.withColumnRenamed("event_id", "e")
     # Larger inputs for the bench: n copies with ids shifted by the event
@@ -155,20 +155,27 @@ def criteria_replies(df: DataFrame) -> DataFrame:
     kept = F.filter(F.transform(crit, lambda c, i: F.struct(
         c["criterion"].alias("name"), criteria_score_expr(e, i + 1).alias("s"), (i + 1).alias("k"))),
         lambda x: ~((x["k"] == n) & (e % 7 == 0)))
-    as_json = F.concat(F.lit("["), F.array_join(F.transform(kept, lambda x: F.format_string(
-        '{"기준": "%s", "점수": %d, "피드백": "ok"}', x["name"], x["s"])), ", "), F.lit("]"))
-    as_flat = F.concat(F.lit("Scores follow.\n"), F.array_join(F.transform(kept, lambda x: F.format_string(
-        "{'criteria_name': '%s', 'score': %d, 'feedback': 'ok'}", x["name"], x["s"])), "\n"),
-        F.lit("\nEnd of scores."))
-    as_md = F.concat(F.lit("Result table:\n| 기준 | 점수 | 피드백 |\n|---|---|---|\n"),
-                     F.array_join(F.transform(kept, lambda x: F.format_string(
-                         "| %s | %d | ok |", x["name"], x["s"])), "\n"), F.lit("\n\nDone."))
+    def render(k):
+        as_json = F.concat(F.lit("["), F.array_join(F.transform(k, lambda x: F.format_string(
+            '{"기준": "%s", "점수": %d, "피드백": "ok"}', x["name"], x["s"])), ", "), F.lit("]"))
+        as_flat = F.concat(F.lit("Scores follow.\n"), F.array_join(F.transform(k, lambda x: F.format_string(
+            "{'criteria_name': '%s', 'score': %d, 'feedback': 'ok'}", x["name"], x["s"])), "\n"),
+            F.lit("\nEnd of scores."))
+        as_md = F.concat(F.lit("Result table:\n| 기준 | 점수 | 피드백 |\n|---|---|---|\n"),
+                         F.array_join(F.transform(k, lambda x: F.format_string(
+                             "| %s | %d | ok |", x["name"], x["s"])), "\n"), F.lit("\n\nDone."))
+        shape = e % 3
+        reply = F.when(shape == 0, as_json).when(shape == 1, as_flat).otherwise(as_md)
+        obj = F.concat(F.lit("{"), F.array_join(F.transform(k, lambda x: F.format_string(
+            '"%s": %d', x["name"], x["s"])), ", "), F.lit(', "총점": '),
+            F.coalesce(F.col("judge.score").cast("string"), F.lit("null")), F.lit(', "평가의견": "ok"}'))
+        return F.struct(reply.alias("reply"), obj.alias("judge_object"))
+
+    # The kept criteria are built once per row and shared by both renderings.
+    from ..functions.judge_parse import bind
+    rendered = bind(kept, render)
     shape = e % 3
-    reply = F.when(shape == 0, as_json).when(shape == 1, as_flat).otherwise(as_md)
-    obj = F.concat(F.lit("{"), F.array_join(F.transform(kept, lambda x: F.format_string(
-        '"%s": %d', x["name"], x["s"])), ", "), F.lit(', "총점": '),
-        F.coalesce(F.col("judge.score").cast("string"), F.lit("null")), F.lit(', "평가의견": "ok"}'))
     return out.select("id", "answerer_llm_alias", "lr_answer_bronze_id", "template",
                       F.element_at(F.array(*[F.lit(s) for s in REPLY_SHAPES]), (shape + 1).cast("int"))
                       .alias("shape"),
-                      reply.alias("reply"), obj.alias("judge_object"))
+                      rendered["reply"].alias("reply"), rendered["judge_object"].alias("judge_object"))
