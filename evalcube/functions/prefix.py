@@ -11,15 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import broadcast_if_small
+
 
 def _bucket_of(key: Column, bounds: list[float], descending: bool) -> Column:
-    # Number of boundaries the key has passed in sort order.
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    if descending:
-        return F.size(F.filter(arr, lambda b: key < b))
-    return F.size(F.filter(arr, lambda b: key > b))
+    """Number of boundaries the key has passed in sort order.
+
+    A balanced tree of comparisons against the (constant) boundaries: log2
+    depth, generated code, no lambda.
+    """
+    def tree(lo: int, hi: int) -> Column:
+        # answer is in [lo, hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        passed = key < F.lit(float(bounds[mid])) if descending else key > F.lit(float(bounds[mid]))
+        return F.when(passed, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    return tree(0, len(bounds))
 
 
 def running_totals(df: DataFrame, key: str, tiebreak: list[str], sums: list[str],
@@ -44,7 +52,7 @@ def running_totals(df: DataFrame, key: str, tiebreak: list[str], sums: list[str]
     offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_tot_{s}").over(wt), F.lit(0)).alias(f"_off_{s}")
                                          for s in sums],
                             F.coalesce(F.sum("_tot_n").over(wt), F.lit(0)).alias("_off_n"))
-    out = local.join(F.broadcast(offsets), "_bucket")
+    out = local.join(broadcast_if_small(offsets), "_bucket")
     return out.select(*df.columns,
                       *[(F.col(f"_loc_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
                       (F.col("_loc_n") + F.col("_off_n")).cast("long").alias(rank_col))

@@ -38,8 +38,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     cuts = base.groupBy(*keys).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"),
                                    F.count(F.lit(1)).alias("_n"))
     # Groups x buckets values: a dimension-sized table, broadcast after a size check.
+    # Range of a value = number of cuts below it: its first position in the
+    # sorted cuts with the value added (plain array functions, no lambda).
     binned = base.join(broadcast_if_small(cuts), keys).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
+        "_b", F.array_position(F.sort_array(F.concat("_cuts", F.array("_v"))), F.col("_v")) - 1)
     counts = binned.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 from ..functions.prefix import running_totals
 from .clean import ALIAS_COL
 from .cube import CELL, cell_index
@@ -73,7 +75,9 @@ def supported_frontier(fronts: DataFrame, ids: DataFrame, buckets: int = 64) ->
     k-th best edge (cell switched to ``llm_id``). Columns: step, T, D, L,
     llm_id, answerer_llm_alias, cost, quality.
     """
-    hull = cell_hulls(fronts)
+    from ..session import checkpoint_df
+    # Hull vertices: at most models x cells rows, read by three consumers.
+    hull = checkpoint_df(cell_hulls(fronts))
     w = Window.partitionBy(*CELL).orderBy("vidx")
     edges = (hull.withColumn("dc", F.col("cost_fx") - F.lag("cost_fx").over(w))
                  .withColumn("dq", F.col("quality_fx") - F.lag("quality_fx").over(w))
@@ -89,7 +93,7 @@ def supported_frontier(fronts: DataFrame, ids: DataFrame, buckets: int = 64) ->
     first = start.select(F.lit(0).cast("long").alias("step"), *[F.lit(None).cast("string").alias(c) for c in CELL],
                          F.lit(None).cast("int").alias("llm_id"), F.col("c0").alias("c"), F.col("q0").alias("q"))
     pts = first.unionByName(steps)
-    names = F.broadcast(ids.select("llm_id", ALIAS_COL))
+    names = broadcast_if_small(ids.select("llm_id", ALIAS_COL))
     return (pts.join(names, "llm_id", "left")
                .select("step", *CELL, "llm_id", ALIAS_COL,
                        F.round(F.col("c") / COST_SCALE, 9).alias("cost"),
@@ -151,10 +155,10 @@ def thin_frontier(points: DataFrame, cost_gap: float = 0.01, quality_gap: float
     chain = checkpoint_df(spark.range(1).select(F.lit(0).cast("long").alias("node")))
     k = 1
     while k < max(n, 2):
-        step_ahead = chain.join(jump, "node").select(F.col("nxt").alias("node")).filter(F.col("node").isNotNull())
+        step_ahead = chain.join(broadcast_if_small(jump), "node").select(F.col("nxt").alias("node")).filter(F.col("node").isNotNull())
         chain = checkpoint_df(chain.unionByName(step_ahead).distinct())
         a, b = jump.alias("a"), jump.alias("b")
-        jump = checkpoint_df(a.join(b, F.col("a.nxt") == F.col("b.node"), "left")
+        jump = checkpoint_df(a.join(broadcast_if_small(b), F.col("a.nxt") == F.col("b.node"), "left")
                              .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt")))
         k *= 2
     return points.join(chain.withColumnRenamed("node", "step"), "step", "left_semi")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.joins import broadcast_if_small
+
 from .clean import ALIAS_COL
 from .cube import DOMAINS, LEVELS, TASKS, code_num
 
@@ -45,7 +47,7 @@ def model_matrix(scored: DataFrame, ids: DataFrame, levels: list[str] | None = N
         F.avg("quality").alias("quality_mean"),
         F.max_by("tokens", "id").alias("tokens_last"),
         F.count(F.lit(1)).alias("n"))
-    return (agg.join(F.broadcast(ids), ALIAS_COL)
+    return (agg.join(broadcast_if_small(ids), ALIAS_COL)
                .select(ALIAS_COL, "llm_id", F.concat_ws(" ", "T", "L").alias("row_key"), "T", "L", "D",
                        F.round("quality_last", 9).alias("quality_last"),
                        F.round("quality_mean", 9).alias("quality_mean"),

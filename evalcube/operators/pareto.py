@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 from .clean import ALIAS_COL
 from .cube import CELL, DOMAINS, LEVELS, TASKS, code_num
 
@@ -27,7 +29,7 @@ def cell_candidates(dense: DataFrame, ids: DataFrame, active: str = "first_model
     ``active='first_model'`` keeps the cells where model 0 has a non-zero
     count (parity); ``'any'`` keeps cells where any model has one.
     """
-    d = dense.join(F.broadcast(ids), ALIAS_COL)
+    d = dense.join(broadcast_if_small(ids), ALIAS_COL)
     if active == "first_model":
         act = d.filter((F.col("llm_id") == 0) & (F.col("count") != 0)).select(*CELL)
     else:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 from ..functions.quantiles import exact_quantiles
 from .clean import ALIAS_COL
 
@@ -101,7 +103,7 @@ def histogram(df: DataFrame, value: str = "quality", bins: int = 30) -> DataFram
         F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
         F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
     # One row per model: joined back by broadcast (bounded by the model count).
-    binned = df.filter(v.isNotNull()).join(F.broadcast(stats), ALIAS_COL).select(
+    binned = df.filter(v.isNotNull()).join(broadcast_if_small(stats), ALIAS_COL).select(
         ALIAS_COL,
         F.aggregate(
             F.sequence(F.lit(1), F.lit(bins - 1)), F.lit(0),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 from ..operators import cube as K
 from ..operators import pareto as PA
 from ..operators.clean import ALIAS_COL
@@ -230,7 +232,7 @@ FROM tl LEFT JOIN fc ON fc.T = tl.T AND fc.L = tl.L GROUP BY tl.T, tl.L"""))
 def routing_count_table(spark, sf_dir):
     st = _stage(spark, sf_dir)
     best = PA.best_portfolio(st["fronts"]).select(*_CELL_COLS)
-    first = st["dense"].join(F.broadcast(st["ids"]).filter("llm_id = 0"), A).select(*_CELL_COLS, "count")
+    first = st["dense"].join(broadcast_if_small(st["ids"]).filter("llm_id = 0"), A).select(*_CELL_COLS, "count")
     return PA.routing_table(best.join(first, _CELL_COLS), "count", "sum")
 
 
@@ -253,5 +255,5 @@ def label_names(spark, sf_dir):
              .unionByName(s.select(F.lit("domain").alias("dimension"), F.explode("label_domain").alias("code")))
              .unionByName(s.select(F.lit("level").alias("dimension"), F.explode("label_level").alias("code"))))
     counts = used.groupBy("dimension", "code").agg(F.count(F.lit(1)).alias("n_labels"))
-    return counts.join(F.broadcast(K.label_names(spark)), ["dimension", "code"], "left").select(
+    return counts.join(broadcast_if_small(K.label_names(spark)), ["dimension", "code"], "left").select(
         "dimension", "code", "name", "n_labels")

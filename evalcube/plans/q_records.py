@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
+
 from ..functions.judge_parse import judge_text, parse_total_embedded, strip_fence, escape_repair
 from ..operators import clean as C
 from ..operators import profile as P
@@ -175,7 +177,7 @@ def dim_model_prices(spark, sf_dir):
     reg = model_registry(spark).select(F.col("alias").alias(A), "dollar_per_input_token",
                                       "dollar_per_output_token")
     counts = scored_slim(spark, sf_dir).groupBy(A).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(F.broadcast(reg), A, "left").select(
+    return counts.join(broadcast_if_small(reg), A, "left").select(
         A, "dollar_per_input_token", "dollar_per_output_token", "n_rows")
 
 
@@ -186,7 +188,7 @@ def dim_unknown_models(spark, sf_dir):
     from ..sources.registry import model_registry
     reg = model_registry(spark).select(F.col("key").alias(A))
     df = C.clean_required(judged_records(spark, sf_dir))
-    return df.join(F.broadcast(reg), A, "left_anti").groupBy(A).agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.join(broadcast_if_small(reg), A, "left_anti").groupBy(A).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 # ---------------------------------------------------------------- profiles

@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources import readers as RD
 from ..sources.fixtures import judged_records
 from .oracle_base import with_rec
+from .q_cube import _stage, cube_sql
 from .registry import query
 
 A = ALIAS_COL
@@ -96,3 +97,24 @@ def prompt_log(spark, sf_dir):
                       F.col("messages").alias("prompt"), F.col("content").alias("response"))
     RD.append_prompt_log(log, path)
     return spark.read.parquet(path).groupBy("task").agg(F.count(F.lit(1)).alias("n_prompts"))
+
+
+@query("cube_sink", cube_sql("SELECT answerer_llm_alias, T, D, L, count, quality, cost FROM cube"))
+def cube_sink(spark, sf_dir):
+    """The combined model x cell cube written as CSV (one file set for all models) and read back."""
+    path = scratch_path(spark, "all-models-cube") + ".csv"
+    _stage(spark, sf_dir)["cube"].write.mode("overwrite").option("header", "true").csv(path)
+    return spark.read.option("header", "true").schema(
+        "answerer_llm_alias STRING, T STRING, D STRING, L STRING, count DOUBLE, quality DOUBLE, cost DOUBLE"
+    ).csv(path)
+
+
+@query("eval_file_sink", with_rec("""
+SELECT e AS id, concat('q', g) AS req, CASE WHEN e % 113 = 0 THEN '' ELSE concat('r', e) END AS res,
+       '' AS eval_result FROM rec"""))
+def eval_file_sink(spark, sf_dir):
+    """The eval file: the 17-column eval record written as Parquet and read back."""
+    from ..operators.clean import eval_projection
+    path = scratch_path(spark, "df-eval") + ".parquet"
+    eval_projection(judged_records(spark, sf_dir)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).select("id", "req", "res", "eval_result")
