@@ -44,13 +44,26 @@ def scored_slim(spark: SparkSession, sf_dir: str, replicas: int = 1) -> DataFram
                        ("scored", sf_dir, replicas), "scored")
 
 
-def cube_stage(scored: DataFrame, active: str = "first_model") -> dict[str, DataFrame]:
-    """Cube -> dense template -> candidates -> per-cell fronts (all lazy)."""
+def cube_stage(scored: DataFrame, active: str = "first_model", key: tuple | None = None) -> dict[str, DataFrame]:
+    """Cube -> dense template -> candidates -> per-cell fronts.
+
+    With ``key`` the cube, model ids and fronts (at most models x 360 rows
+    each) are written once per application to the shared work folder, so the
+    dozen queries that read them share one computation and a lost executor
+    recomputes from those files.
+    """
     from ..operators import cube as K
     from ..operators import pareto as PA
-    cube = K.tld_cube(scored)
-    ids = K.model_ids(scored)
+    from ..session import materialize
+
+    def keep(build, name):
+        if key is None:
+            return build()
+        return materialize(scored.sparkSession, build, key + (name, active), name)
+
+    cube = keep(lambda: K.tld_cube(scored), "cube")
+    ids = keep(lambda: K.model_ids(scored), "ids")
     dense = K.dense_cube(scored, cube, ids)
     cands = PA.cell_candidates(dense, ids, active)
-    fronts = PA.with_front_size(PA.efficient_in_cells(cands))
+    fronts = keep(lambda: PA.with_front_size(PA.efficient_in_cells(cands)), "fronts")
     return {"cube": cube, "dense": dense, "ids": ids, "candidates": cands, "fronts": fronts}

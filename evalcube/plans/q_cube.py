@@ -75,7 +75,7 @@ def cube_sql(body: str) -> str:
 
 
 def _stage(spark, sf_dir):
-    return cube_stage(scored_slim(spark, sf_dir))
+    return cube_stage(scored_slim(spark, sf_dir), key=("cube-stage", sf_dir))
 
 
 _CELL_COLS = ["T", "D", "L"]
