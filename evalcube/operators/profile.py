@@ -139,3 +139,20 @@ def quality_overall(df: DataFrame, value: str = "quality") -> DataFrame:
         "count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"),
         F.round("min", 9).alias("min"), F.round("p25", 9).alias("p25"),
         F.round("p50", 9).alias("p50"), F.round("p75", 9).alias("p75"), F.round("max", 9).alias("max"))
+
+
+def all_distributions(df: DataFrame, scalar_cols: list[str], list_cols: list[str]) -> DataFrame:
+    """(dimension, value, n) for several columns in one scan and one aggregation.
+
+    Each row emits one (dimension, value) pair per scalar column and one per
+    element of each list column (a generator, no union of scans); nulls are
+    dropped. The partial aggregate keeps one counter per distinct pair per task.
+    """
+    pairs = [F.array(F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")))
+             for c in scalar_cols]
+    def tag(name):
+        return lambda v: F.struct(F.lit(name).alias("dimension"), v.alias("value"))
+    pairs += [F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tag(c)) for c in list_cols]
+    exploded = df.select(F.inline(F.concat(*pairs)))
+    return (exploded.filter(F.col("value").isNotNull())
+                    .groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n")))

@@ -328,3 +328,16 @@ SELECT count(quality) AS count, round(avg(quality), 9) AS mean, round(stddev_sam
        round(max(quality), 9) AS max FROM scored"""))
 def quality_overall(spark, sf_dir):
     return P.quality_overall(scored_slim(spark, sf_dir))
+
+
+@query("dist_all", with_text("""
+SELECT dimension, value, count(*) AS n FROM (
+  SELECT 'answerer_llm_alias' AS dimension, alias AS value FROM txt2
+  UNION ALL SELECT 'source_id', concat('src', g % 7) FROM txt2
+  UNION ALL SELECT 'label_task', unnest(label_task) FROM txt2
+  UNION ALL SELECT 'label_domain', unnest(label_domain) FROM txt2
+  UNION ALL SELECT 'label_level', unnest(label_level) FROM txt2
+) WHERE value IS NOT NULL GROUP BY 1, 2"""))
+def dist_all(spark, sf_dir):
+    return P.all_distributions(judged_records(spark, sf_dir), [A, "source_id"],
+                               ["label_task", "label_domain", "label_level"])
