@@ -23,7 +23,8 @@ from .joins import broadcast_if_small
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str], buckets: int = 256, accuracy: int = 10000) -> DataFrame:
-    """One row per group: ``keys`` plus one column per name in ``names`` (NULL for an empty group).
+    """One row per group with a non-null value: ``keys`` plus one column per name in ``names``
+    (callers left-join it onto their group table).
 
     With no keys the whole table is one group (computed the same way: still
     no single buffer of all values).
@@ -35,19 +36,23 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     v = F.col(value).cast("double")
     base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = base.groupBy(*keys).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"),
-                                   F.count(F.lit(1)).alias("_n"))
+    cuts = base.groupBy(*keys).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"))
     # Groups x buckets values: a dimension-sized table, broadcast after a size check.
     # Range of a value = number of cuts below it: its first position in the
     # sorted cuts with the value added (plain array functions, no lambda).
-    binned = base.join(broadcast_if_small(cuts), keys).withColumn(
-        "_b", F.array_position(F.sort_array(F.concat("_cuts", F.array("_v"))), F.col("_v")) - 1)
+    binned = base.join(broadcast_if_small(cuts), keys).select(
+        *keys, "_v", (F.array_position(F.sort_array(F.concat("_cuts", F.array("_v"))), F.col("_v")) - 1)
+        .cast("int").alias("_b"))
+    # Written once to the shared folder: the counts and the ordering below read
+    # this copy instead of scanning the input again (two scans in total).
+    from ..session import checkpoint_df
+    binned = checkpoint_df(binned)
     counts = binned.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.withColumn("_start", F.sum("_c").over(w) - F.col("_c"))
 
-    n = cuts.select(*keys, "_n")
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     targets = n.select(*keys, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_pi", "_p"))
     targets = targets.withColumn("_pos", F.col("_p") * (F.col("_n") - 1)).select(
         *keys, "_pi", "_pos", F.explode(F.array_distinct(F.array(
@@ -68,7 +73,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         F.min_by("_val", "_r").alias("_vlo"), F.max_by("_val", "_r").alias("_vhi"))
     interp = per_p.select(*keys, "_pi", (F.col("_vlo") + (F.col("_pos") - F.floor("_pos"))
                                           * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
-    wide = interp.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
+    return interp.groupBy(*keys).agg(*[F.max(F.when(F.col("_pi") == i, F.col("_q"))).alias(nm)
                                        for i, nm in enumerate(names)])
-    groups = df.select(*keys).distinct()
-    return groups.join(wide, keys, "left")

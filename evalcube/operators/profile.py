@@ -103,13 +103,19 @@ def histogram(df: DataFrame, value: str = "quality", bins: int = 30) -> DataFram
         F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
         F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
     # One row per model: joined back by broadcast (bounded by the model count).
-    binned = df.filter(v.isNotNull()).join(broadcast_if_small(stats), ALIAS_COL).select(
+    # Bin = number of inner edges lo + i*w (i = 1..bins-1) at or below v: a
+    # first guess from the division, then one correction against the edges
+    # themselves (the division is off by at most one at an edge).
+    w = (F.col("hi") - F.col("lo")) / bins
+    guess = F.least(F.greatest(F.floor((v - F.col("lo")) / w), F.lit(0)), F.lit(bins - 1))
+
+    def edge(i):
+        return F.col("lo") + i * w
+    binned = df.filter(v.isNotNull()).join(broadcast_if_small(stats), ALIAS_COL).withColumn("_g", guess).select(
         ALIAS_COL,
-        F.aggregate(
-            F.sequence(F.lit(1), F.lit(bins - 1)), F.lit(0),
-            lambda acc, i: acc + F.when(
-                F.col("lo") + i * ((F.col("hi") - F.col("lo")) / bins) <= v, 1).otherwise(0)
-        ).alias("bin"))
+        F.when((F.col("_g") > 0) & (v < edge(F.col("_g"))), F.col("_g") - 1)
+         .when((F.col("_g") < bins - 1) & (v >= edge(F.col("_g") + 1)), F.col("_g") + 1)
+         .otherwise(F.col("_g")).alias("bin"))
     counts = binned.groupBy(ALIAS_COL, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = stats.select(ALIAS_COL, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return (grid.join(counts, [ALIAS_COL, "bin"], "left")
@@ -135,7 +141,7 @@ def quality_overall(df: DataFrame, value: str = "quality") -> DataFrame:
                                   F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
     q = exact_quantiles(one, ["_all"], value, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
     # One-row aggregate joined with the one-row quantile table on the constant key.
-    return agg.join(q, "_all").select(
+    return agg.join(q, "_all", "left").select(
         "count", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"),
         F.round("min", 9).alias("min"), F.round("p25", 9).alias("p25"),
         F.round("p50", 9).alias("p50"), F.round("p75", 9).alias("p75"), F.round("max", 9).alias("max"))
