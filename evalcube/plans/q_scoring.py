@@ -47,7 +47,10 @@ def crit_sql(body: str) -> str:
 
 
 def _replies(spark, sf_dir):
-    return criteria_replies(cleaned_records(spark, sf_dir))
+    # Read by five queries: written once per application to the shared folder.
+    from ..session import materialize
+    return materialize(spark, lambda: criteria_replies(cleaned_records(spark, sf_dir)),
+                       ("criteria-replies", sf_dir), "criteria-replies")
 
 
 def _scores(spark, sf_dir):
