@@ -61,3 +61,23 @@ def test_cell_front_matches_brute_force(spark, pts):
                                "T STRING, D STRING, L STRING, llm_id INT, cost DOUBLE, quality DOUBLE")
     got = sorted((int(r.cost), int(r.quality)) for r in efficient_in_cells(df).collect())
     assert got == brute_front(pts)
+
+
+def test_thinning_matches_sequential_rule(spark):
+    import random
+    rnd = random.Random(5)
+    c = q = 0.0
+    rows = []
+    for step in range(200):
+        rows.append((step, round(c, 9), round(q, 9)))
+        c += rnd.choice([0.001, 0.004, 0.009, 0.02])
+        q += rnd.choice([0.05, 0.2, 0.45, 0.6])
+    df = spark.createDataFrame(rows, "step LONG, cost DOUBLE, quality DOUBLE")
+    got = sorted(r.step for r in FR.thin_frontier(df).collect())
+    kept, last = [], None
+    for step, cc, qq in rows:
+        ci, qi = round(cc * FR.COST_SCALE), round(qq * FR.QUALITY_SCALE)
+        if last is None or not (ci - last[0] < 10_000_000 and qi - last[1] < 500_000):
+            kept.append(step)
+            last = (ci, qi)
+    assert got == kept
