@@ -123,15 +123,20 @@ def judge_text(raw: Column) -> Column:
     content[0].text; a content string -> content; anything else -> the raw
     text. NULL -> the fixed error message.
     """
-    p = F.from_json(raw, _PROVIDER_SCHEMA)
-    plist = F.from_json(raw, _CONTENT_LIST_SCHEMA)
-    first_choice = F.try_element_at(p["choices"], F.lit(1))
-    from_choices = F.when(F.size(p["choices"]) > 0,
-                          F.coalesce(first_choice["message"]["content"], F.lit("")))
-    first_part = F.try_element_at(plist["content"], F.lit(1))
-    from_list = F.when(F.size(plist["content"]) > 0, first_part["text"])
-    content_str = p["content"]
-    from_content = F.when(content_str.isNotNull() & (content_str != "")
-                          & ~content_str.startswith("["), content_str)
-    return F.when(raw.isNull(), F.lit("Error: Model returned None")).otherwise(
-        F.coalesce(from_choices, from_list, from_content, raw))
+    def read(p, plist, raw):
+        first_choice = F.try_element_at(p["choices"], F.lit(1))
+        from_choices = F.when(F.size(p["choices"]) > 0,
+                              F.coalesce(first_choice["message"]["content"], F.lit("")))
+        first_part = F.try_element_at(plist["content"], F.lit(1))
+        from_list = F.when(F.size(plist["content"]) > 0, first_part["text"])
+        content_str = p["content"]
+        from_content = F.when(content_str.isNotNull() & (content_str != "")
+                              & ~content_str.startswith("["), content_str)
+        return F.coalesce(from_choices, from_list, from_content, raw)
+
+    # Each shape is parsed once per row (bound), however often it is read; the
+    # lambda sees only its bound struct (no outer column inside the lambda).
+    both = F.struct(raw.alias("raw"), F.from_json(raw, _PROVIDER_SCHEMA).alias("p"),
+                    F.from_json(raw, _CONTENT_LIST_SCHEMA).alias("pl"))
+    parsed = bind(both, lambda b: read(b["p"], b["pl"], b["raw"]))
+    return F.when(raw.isNull(), F.lit("Error: Model returned None")).otherwise(parsed)

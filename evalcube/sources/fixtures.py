@@ -155,7 +155,8 @@ def criteria_replies(df: DataFrame) -> DataFrame:
     kept = F.filter(F.transform(crit, lambda c, i: F.struct(
         c["criterion"].alias("name"), criteria_score_expr(e, i + 1).alias("s"), (i + 1).alias("k"))),
         lambda x: ~((x["k"] == n) & (e % 7 == 0)))
-    def render(k):
+    def render(b):
+        k, e, score = b["kept"], b["e"], b["score"]
         as_json = F.concat(F.lit("["), F.array_join(F.transform(k, lambda x: F.format_string(
             '{"기준": "%s", "점수": %d, "피드백": "ok"}', x["name"], x["s"])), ", "), F.lit("]"))
         as_flat = F.concat(F.lit("Scores follow.\n"), F.array_join(F.transform(k, lambda x: F.format_string(
@@ -168,12 +169,12 @@ def criteria_replies(df: DataFrame) -> DataFrame:
         reply = F.when(shape == 0, as_json).when(shape == 1, as_flat).otherwise(as_md)
         obj = F.concat(F.lit("{"), F.array_join(F.transform(k, lambda x: F.format_string(
             '"%s": %d', x["name"], x["s"])), ", "), F.lit(', "총점": '),
-            F.coalesce(F.col("judge.score").cast("string"), F.lit("null")), F.lit(', "평가의견": "ok"}'))
+            F.coalesce(score.cast("string"), F.lit("null")), F.lit(', "평가의견": "ok"}'))
         return F.struct(reply.alias("reply"), obj.alias("judge_object"))
 
     # The kept criteria are built once per row and shared by both renderings.
     from ..functions.judge_parse import bind
-    rendered = bind(kept, render)
+    rendered = bind(F.struct(kept.alias("kept"), e.alias("e"), F.col("judge.score").alias("score")), render)
     shape = e % 3
     return out.select("id", "answerer_llm_alias", "lr_answer_bronze_id", "template",
                       F.element_at(F.array(*[F.lit(s) for s in REPLY_SHAPES]), (shape + 1).cast("int"))
