@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -85,3 +86,24 @@ def checkpoint_df(df):
     """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``): cuts lineage."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import the package wherever they run: its sources go along as one archive, once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="evalcube-src-")
+    archive = os.path.join(folder, "evalcube_src.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(os.path.join(root, "evalcube")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(top, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
