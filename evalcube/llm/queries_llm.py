@@ -104,7 +104,7 @@ ORACLE = {
     "op2_warc_index": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
-b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest FROM d),
 m AS (SELECT payload_digest, max(page_id) AS top FROM b GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
@@ -158,7 +158,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM c LEFT JOIN v USING (doc_id)""",
     "op6_ngram_jaccard": r"""
 WITH RECURSIVE d AS (SELECT doc_id, """ + _WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')") + r""" AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
 t AS (SELECT doc_id, unnest(g) AS x FROM s),
 n AS (SELECT doc_id, len(g) AS n FROM s),
@@ -186,8 +186,8 @@ SELECT conv_id, n_turns, sha256(u) AS turns_sha256, length(v) AS loss_chars, sha
 FROM a JOIN h USING (conv_id)""",
     "op9_hnsw_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(e, x -> x <> 0)) > 0),
+u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(e, lambda x: x <> 0)) > 0),
 link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e)
          WHERE list_cosine_similarity(p.e, q.e) >= 0.95),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
