@@ -39,11 +39,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import WindowHash, anchors, sliding_min, gram_keys  # noqa: F401
-from .common import flat, list_array, partition_id, running_max, stage, with_uid
+from .common import flat, list_array, partition_id, release, running_max, stage, with_uid
 
 GRAM = 8
 #: Bytes scanned at once; longer texts go in overlapping slabs.
@@ -100,6 +100,21 @@ def _anchor_prints(length: int, window: int):
     return scan
 
 
+def _kept_prints(length: int, window: int):
+    """(uid, bytes, kept anchors) -> (f, uid, at): their prefix fingerprints again."""
+    keep = length - window + 1
+
+    def scan(batches):
+        for b in batches:
+            kept, off = flat(b.column(2))
+            f = [WindowHash(np.frombuffer(t, np.uint8)).at(kept[off[i]:off[i + 1]].astype(np.int64), keep).view(np.int64)
+                 for i, t in enumerate(b.column(1).to_pylist())]
+            uid = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(off))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*f, np.zeros(0, np.int64)])), pa.array(uid), pa.array(kept)],
+                                             names=["f", "uid", "at"])
+    return scan
+
+
 def _ranges(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask of the positions in [s, s + width) for any s of ``starts``."""
     d = np.zeros(n + 1, np.int32)
@@ -285,13 +300,18 @@ def suffix_order(level: DataFrame, length: int, tag: str = "sa", depth: int = 0)
     empty = F.array().cast("array<bigint>")
     sample = stage(level.join(named, "uid", "left").withColumn("names", F.coalesce("names", empty))
                    .mapInArrow(_shrink, _LEVEL), f"{name}-sample")
-    if names.filter((F.col("n") > 1) & (F.col("cov") < length)).isEmpty():
+    open_names = not names.filter((F.col("n") > 1) & (F.col("cov") < length)).isEmpty()
+    release(names)
+    deeper = None
+    if not open_names:
         ranks = sample.select("uid", F.col("sym").alias("ranks"))
     else:
-        ranks = _gathered(suffix_order(sample, length, tag, depth + 1), "rank", "ranks")
+        deeper = suffix_order(sample, length, tag, depth + 1)
+        ranks = _gathered(deeper, "rank", "ranks")
     rows = stage(level.join(ranks, "uid", "left").withColumn("ranks", F.coalesce("ranks", empty))
                  .mapInArrow(_merge_rows, "uid bigint, i int, typ int, s0 bigint, s1 bigint, r1 bigint, r2 bigint, "
                              "r bigint"), f"{name}-rows")
+    release(sample, *([deeper] if deeper is not None else []))
     # the last sampled suffix before each remaining one: among class 2 and among class 1
     a = running_max(rows.filter("typ <> 1").select("uid", "i", "typ", "s0", "r1", F.when(F.col("typ") == 2, F.col("r")).alias("r")),
                     ["s0", "r1"], "r", "top", f"{name}-a")
@@ -303,8 +323,10 @@ def suffix_order(level: DataFrame, length: int, tag: str = "sa", depth: int = 0)
     every = (rows.filter("typ <> 0").select("uid", "i", "r", F.lit(0).alias("late"), F.lit(0).cast("bigint").alias("s0"),
                                             F.lit(0).cast("bigint").alias("r1")).union(rest))
     key = ["r", "late", "s0", "r1"]
-    return stage(every.repartitionByRange(*key).sortWithinPartitions(*key)
-                 .select("uid", "i", (F.monotonically_increasing_id() + 1).alias("rank")), f"{name}-order")
+    out = stage(every.repartitionByRange(*key).sortWithinPartitions(*key)
+                .select("uid", "i", (F.monotonically_increasing_id() + 1).alias("rank")), f"{name}-order")
+    release(rows)
+    return out
 
 
 def _adjacent(batches):
@@ -469,11 +491,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_d
     """
     if window != 128 or length < 2 * window:
         raise ValueError("window is 128 (two 64-bit masks hold the distances) and length at least 256")
-    prints = docs.select("uid", "raw").filter(F.length("raw") >= length).mapInArrow(
-        _anchor_prints(length, window), "f bigint, uid bigint, at int")
+    prints = stage(docs.select("uid", "raw").filter(F.length("raw") >= length).mapInArrow(
+        _anchor_prints(length, window), "f bigint, uid bigint, at int"), "sa-prints")
     again = prints.groupBy("f").count().filter("count > 1").select("f")
     kept = prints.join(again, "f", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_set("at")).alias("kept"))
+    kept = stage(kept, "sa-kept")
+    release(prints)
     cand = stage(docs.select("uid", "raw").join(kept, "uid"), "sa-candidates")
+    release(kept)
 
     symbols = cand.mapInArrow(_symbol_rows(length, window), "sh bigint, s binary").groupBy("sh").agg(F.first("s").alias("s"))
     names = stage(symbols.repartitionByRange("s").sortWithinPartitions("s")
@@ -481,14 +506,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_d
     nodes = stage(cand.mapInArrow(_node_rows(length, window), _LEVEL + ", f400 array<bigint>"), "sa-nodes")
     sym = _gathered(nodes.select("uid", F.posexplode("sym").alias("i", "sh")).join(names, "sh"), "name", "names")
     level = stage(nodes.join(sym, "uid").select("uid", "pos", "nxt", F.col("names").alias("sym"), "cov"), "sa-level")
-    full = repeated_anchors(nodes, suffix_order(level, length))
+    release(names)
+    order = suffix_order(level, length)
+    release(level)
+    full = repeated_anchors(nodes, order)
     full = stage(full.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("full")), "sa-full")
+    release(nodes, order)
 
     none = F.array().cast("array<int>")
     both = cand.join(full, "uid", "left").withColumn("full", F.coalesce("full", none))
     asked = (both.select("uid", "raw", "kept", "full").mapInArrow(_open_masks(length, window), "f bigint, lo bigint, hi bigint")
              .groupBy("f").agg(F.bit_or("lo").alias("lo"), F.bit_or("hi").alias("hi")))
-    per_doc = (prints.join(asked, "f").groupBy("uid")
+    per_doc = (cand.mapInArrow(_kept_prints(length, window), "f bigint, uid bigint, at int").join(asked, "f").groupBy("uid")
                .agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("m")))
     part = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)).cast("int")
     n_parts = max(1, cand.count() // part_docs)
@@ -497,11 +526,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_d
                          *(F.coalesce(F.col(f"m.{c}"), F.array().cast(t)).alias(c)
                            for c, t in (("at", "array<int>"), ("lo", "array<bigint>"), ("hi", "array<bigint>")))),
                  "sa-work")
+    release(cand, full)
+    # a string's rows are one for each batch that holds it, with how often it does
     strings = work.select("part", "raw", "at", "lo", "hi").mapInArrow(
         _open_strings(length, window), "part int, h bigint, n bigint")
-    strings = strings.groupBy("h", "part").agg(F.sum("n").alias("n"))
-    twice = strings.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    dup = strings.join(twice, "h", "left_semi").groupBy("part").agg(F.collect_list("h").alias("dup"))
+    twice = strings.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
+    dup = stage(twice.groupBy("part").agg(F.collect_set("h").alias("dup")), "sa-dup")
     out = work.join(dup, "part", "left").select(
         "uid", "raw", "at", "lo", "hi", "full", F.coalesce("dup", F.array().cast("array<bigint>")).alias("dup"))
     return out.mapInArrow(_spans(length, window), "uid bigint, starts array<int>, lengths array<int>").filter(
