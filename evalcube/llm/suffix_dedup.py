@@ -459,29 +459,29 @@ def _asked(at, lo, hi, text, length, window):
 
 
 def _spans(length: int, window: int):
-    """Joins the two sources of repeats to maximal removed runs."""
-
-    def scan(batches):
-        for b in batches:
-            at, off = flat(b.column(2))
-            lo, hi = flat(b.column(3))[0], flat(b.column(4))[0]
-            full, offf = flat(b.column(5))
-            dup, offd = flat(b.column(6))
-            st, ln, n = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                p = _asked(at[off[i]:off[i + 1]], lo[off[i]:off[i + 1]], hi[off[i]:off[i + 1]], t, length, window)
-                h = WindowHash(np.frombuffer(t, np.uint8)).at(p, length).view(np.int64)
-                p = p[np.isin(h, dup[offd[i]:offd[i + 1]])]
-                cov = _ranges(np.concatenate([p, full[offf[i]:offf[i + 1]].astype(np.int64)]), length, len(t))
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], cov.astype(np.int8), [0]])))
-                st.append(edge[::2])
-                ln.append(edge[1::2] - edge[::2])
-                n.append(len(edge) // 2)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), list_array(np.concatenate(st).astype(np.int32), n, pa.int32()),
-                     list_array(np.concatenate(ln).astype(np.int32), n, pa.int32())], names=["uid", "starts", "lengths"])
-    return scan
+    """A group of documents and the strings found twice among its open ones -> maximal removed runs."""
+
+    def join(docs: pa.Table, twice: pa.Table) -> pa.Table:
+        at, off = flat(docs.column("at"))
+        lo, hi = flat(docs.column("lo"))[0], flat(docs.column("hi"))[0]
+        full, offf = flat(docs.column("full"))
+        texts = docs.column("raw").to_pylist()
+        starts = [_asked(at[off[i]:off[i + 1]], lo[off[i]:off[i + 1]], hi[off[i]:off[i + 1]], t, length, window)
+                  for i, t in enumerate(texts)]
+        h = [WindowHash(np.frombuffer(t, np.uint8)).at(p, length).view(np.int64) for t, p in zip(texts, starts)]
+        hit = np.isin(np.concatenate([*h, np.zeros(0, np.int64)]), twice.column("h").to_numpy())
+        st, ln, n, done = [], [], [], 0
+        for i, (t, p) in enumerate(zip(texts, starts)):
+            p, done = p[hit[done:done + len(p)]], done + len(p)
+            cov = _ranges(np.concatenate([p, full[offf[i]:offf[i + 1]].astype(np.int64)]), length, len(t))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], cov.astype(np.int8), [0]])))
+            st.append(edge[::2].astype(np.int32))
+            ln.append((edge[1::2] - edge[::2]).astype(np.int32))
+            n.append(len(edge) // 2)
+        none = [np.zeros(0, np.int32)]
+        return pa.table({"uid": docs.column("uid").combine_chunks(), "starts": list_array(np.concatenate(st + none), n, pa.int32()),
+                         "lengths": list_array(np.concatenate(ln + none), n, pa.int32())})
+    return join
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_docs: int = 256) -> DataFrame:
@@ -531,11 +531,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_d
     strings = work.select("part", "raw", "at", "lo", "hi").mapInArrow(
         _open_strings(length, window), "part int, h bigint, n bigint")
     twice = strings.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
-    dup = stage(twice.groupBy("part").agg(F.collect_set("h").alias("dup")), "sa-dup")
-    out = work.join(dup, "part", "left").select(
-        "uid", "raw", "at", "lo", "hi", "full", F.coalesce("dup", F.array().cast("array<bigint>")).alias("dup"))
-    return out.mapInArrow(_spans(length, window), "uid bigint, starts array<int>, lengths array<int>").filter(
-        F.size("starts") > 0)
+    out = work.groupBy("part").cogroup(twice.select("part", "h").groupBy("part")).applyInArrow(
+        _spans(length, window), "uid bigint, starts array<int>, lengths array<int>")
+    out = stage(out.filter(F.size("starts") > 0), "sa-spans")
+    release(work)
+    return out
 
 
 def _cut(batches):
