@@ -98,8 +98,9 @@ def running_max(df: DataFrame, keys: list[str], value: str, out: str, name: str)
         carry.append((pid, top))
         top = max(top, m)
     prior = spark.createDataFrame(carry or [(-1, 0)], "_pid int, _carry long")
-    return (done.join(F.broadcast(prior), "_pid")
-            .withColumn(out, F.greatest("_run", "_carry")).drop("_run", "_pid", "_carry"))
+    rows = done.join(F.broadcast(prior), "_pid").withColumn(out, F.greatest("_run", "_carry")).drop("_run", "_pid", "_carry")
+    rows._staged_at = done._staged_at
+    return rows
 
 
 def running_sum(df: DataFrame, keys: list[str], value: str, out: str, name: str) -> DataFrame:

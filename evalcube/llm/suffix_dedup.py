@@ -325,7 +325,7 @@ def suffix_order(level: DataFrame, length: int, tag: str = "sa", depth: int = 0)
     key = ["r", "late", "s0", "r1"]
     out = stage(every.repartitionByRange(*key).sortWithinPartitions(*key)
                 .select("uid", "i", (F.monotonically_increasing_id() + 1).alias("rank")), f"{name}-order")
-    release(rows)
+    release(rows, a, b)
     return out
 
 
