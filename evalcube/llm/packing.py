@@ -37,7 +37,7 @@ from .shingles import buffers, words_of
 
 _tokenizers: dict[str, object] = {}
 #: Words whose ids a worker remembers before it starts anew.
-WORD_CACHE = 1_500_000
+WORD_CACHE = 700_000
 _PLAIN = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)")
 
 
@@ -138,7 +138,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
         for b in batches:
             row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
             texts = b.column(1).to_pylist()
-            encoded = (x for _, part in buffers([t or b"" for t in texts], 4 << 20) for x in tok.of_all(part))
+            encoded = (x for _, part in buffers([t or b"" for t in texts], 2 << 20) for x in tok.of_all(part))
             for i, raw in enumerate(encoded):
                 raw = np.concatenate([raw, end]).astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
