@@ -12,12 +12,17 @@ token orders, so no link is lost:
 3. Rarity order over those prefixes (tokens by the number of classes that have
    them, rarest first): with r(a) = l(ceil(percent * a / 100)) shared tokens, the
    rarest |prefix| - r + 1 of them hold a common one. Tokens of one class only
-   come first and pair with nothing, so an unrelated text produces nothing.
-4. Reverse hash order: the last k(a) + 1 tokens must share one; checked on the
+   come first and pair with nothing, so an unrelated text produces nothing and
+   takes no further part.
+4. Rarity order over the whole sets of the texts that are left: the first common
+   token of a pair stands behind at most as many tokens of either set as may be
+   missing from the other, given both sizes.
+5. Reverse hash order: the last k(a) + 1 tokens must share one; checked on the
    candidate pair before the whole sets are intersected.
 
 Pairs of a token are not enumerated: first each class is compared with the
-token's leader (its smallest class) and the links are united; then only pairs of
+token's leader among classes of about its size (the one whose tokens are the most
+shared, for some tokens any) and the links are united; then only pairs of
 different components remain, taken from the classes outside the token's largest
 component. A token whose classes are already one component needs no more pairs.
 Links within one component can't change the result and are not looked for.
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix
-from .common import connected_components, stage, with_uid
+from .common import connected_components, release, stage, with_uid
 from .shingles import buffers, shingle_sets
 
 U = np.uint64
@@ -70,7 +75,7 @@ def _signatures(width: int, percent: int):
     return scan
 
 
-def _explode_prefix(batches):
+def _explode_tokens(batches):
     for b in batches:
         uid = b.column(0).to_numpy(zero_copy_only=False)
         pre = b.column(1).to_pylist()
@@ -115,6 +120,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_verify(percent), "a bigint, b bigint"))
 
 
+def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str) -> DataFrame:
+    """(uid, n, central, pos, h): of each class's (h, uid) entries the ``take`` rarest, without those no other class has.
+
+    ``pos`` counts the class's rarer tokens, ``central`` is how many classes share
+    its tokens on average: high for a text that others are copies of.
+    """
+    common = entries.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = (entries.join(common, "h").groupBy("uid")
+              .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid"))
+    shared = shared.withColumn("own", F.expr(f"cast({size} - size(t) as int)")).withColumn("left", F.expr(f"cast({take} - own as int)"))
+    return shared.filter("left > 0").select(
+        "uid", "n", F.expr(f"aggregate(t, 0D, (s, x) -> s + x.df) / ({size})").alias("central"), "own",
+        F.posexplode(F.expr("slice(t.h, 1, left)")).alias("i", "h")).select(
+        "uid", "n", "central", (F.col("own") + F.col("i")).alias("pos"), "h")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
                           percent: int = 90) -> DataFrame:
     """(uid, id, n_shingles, component_id, first), one row for each row of ``docs``.
@@ -133,38 +154,47 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = ["n", "s1", "s2"]
     classes = stage(sig.filter("n > 0").groupBy(*key).agg(F.min("uid").alias("uid")), "nj-classes")
 
-    entries = (sig.select("uid", "prefix").join(classes.select("uid"), "uid", "left_semi")
-               .mapInArrow(_explode_prefix, "h bigint, uid bigint"))
-    common = entries.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = (entries.join(common, "h").groupBy("uid")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid"))
     # sizes of the hash-order prefix and of the rarity-order prefix within it
     need = f"cast(ceil({percent} * n / 100) as bigint)"
     size = f"least(n, n - {need} + cast(ceil(n / 10) as bigint))"
-    left = F.expr(f"cast({size} - cast(ceil({need} / 10) as bigint) + 1 - ({size} - size(t)) as int)")
-    post = stage(shared.withColumn("left", left).filter("left > 0")
-                 .select("uid", "n", F.explode(F.expr("slice(t.h, 1, left)")).alias("h")), "nj-postings")
-    leaders = post.groupBy("h").agg(F.min(F.struct("n", "uid")).alias("lead"), F.count("*").alias("m")).filter("m > 1")
-
-    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    star = stage(post.join(leaders, "h").select(
-        F.col("lead.uid").alias("a"), F.col("uid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-        .filter("a <> b").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "nj-star")
-    wanted = post.join(leaders.select("h"), "h", "left_semi").select("uid").distinct()
+    entries = (sig.select("uid", "prefix").join(classes.select("uid"), "uid", "left_semi")
+               .mapInArrow(_explode_tokens, "h bigint, uid bigint"))
+    first = _rarest(entries, classes, f"{size} - cast(ceil({need} / 10) as bigint) + 1", size)
+    first = stage(first.select("uid", "h"), "nj-first")
+    met = first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    wanted = stage(first.join(met, "h", "left_semi").select("uid").distinct(), "nj-wanted")
     sets = stage(base.select("uid", "raw").join(wanted, "uid", "left_semi")
                  .mapInArrow(_sets(width), "uid bigint, tokens binary"), "nj-sets")
+    release(first, wanted)
+    post = _rarest(sets.mapInArrow(_explode_tokens, "h bigint, uid bigint"), classes, f"n - {need} + 1", "n")
+    post = stage(post, "nj-postings")
+    again = post.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
+    # two thirds of the tokens are led by their most central class, the others by any
+    lead_by = F.when(F.pmod("h", F.lit(3)) < 2, F.col("central")).otherwise(F.xxhash64("uid").cast("double"))
+    band = F.floor(F.log("n") / 0.1)
+    banded = post.withColumn("band", band)
+    leaders = banded.groupBy("h", "band").agg(F.max_by(F.struct("n", "uid", "pos"), F.struct(lead_by, -F.col("uid"))).alias("lead"),
+                                              F.count("*").alias("m")).filter("m > 1")
+
+    # what each set may lack of the other, given both sizes, bounds the place of their first common token
+    both = f"cast(ceil({percent} * (na + nb) / {100 + percent}) as bigint)"
+    fits = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND pa <= na - {both} AND pb <= nb - {both}")
+    star = stage(banded.join(leaders, ["h", "band"]).select(
+        F.col("lead.uid").alias("a"), F.col("uid").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"),
+        F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"))
+        .filter("a <> b").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "nj-star")
     links1 = stage(_linked(star, sets, percent), "nj-links1")
     comp1 = connected_components(links1, "nj-cc1")
 
-    member = stage(post.join(leaders.select("h"), "h", "left_semi")
+    member = stage(post.join(again, "h", "left_semi")
                    .join(comp1.withColumnRenamed("node", "uid"), "uid", "left")
-                   .select("h", "uid", "n", F.coalesce("component", "uid").alias("c")), "nj-members")
+                   .select("h", "uid", "n", "pos", F.coalesce("component", "uid").alias("c")), "nj-members")
     mixed = (member.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h")
              .agg(F.count("*").alias("g"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("g > 1"))
     minor = member.join(mixed.select("h", "major"), "h").filter("c <> major")
-    x = minor.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = member.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+    x = minor.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
+    y = member.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
     rest = (x.join(y, "h").filter("ca <> cb").filter(fits)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             .join(star, ["a", "b"], "left_anti"))
@@ -174,6 +204,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = (classes.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
              .select(*key, F.coalesce("component", "uid").alias("c")))
     found = stage(found, "nj-found")
+    release(sets, post, star, links1, member)
     rows = sig.select("uid", *key, "id")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     # one row for each class, then for each component; the rows meet their class again
