@@ -23,6 +23,19 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES)
     return F.broadcast(df) if estimated_size(df) <= limit_bytes else df
 
 
+def broadcast_written(df: DataFrame, name: str) -> DataFrame:
+    """Write a small result and hint a broadcast by the size of its files.
+
+    Catalyst's estimate of an aggregate follows its input, not the number of
+    groups; what was written has its true size, however large the input is.
+    """
+    from ..session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return broadcast_if_small(spark.read.schema(df.schema).parquet(path))
+
+
 def local_table(spark, rows: list[tuple], ddl: str) -> DataFrame:
     """A small dimension table built JVM-side (no Python RDD, exact size stats).
 

@@ -130,8 +130,8 @@ def judge_text(raw: Column) -> Column:
         first_part = F.try_element_at(plist["content"], F.lit(1))
         from_list = F.when(F.size(plist["content"]) > 0, first_part["text"])
         content_str = p["content"]
-        from_content = F.when(content_str.isNotNull() & (content_str != "")
-                              & ~content_str.startswith("["), content_str)
+        # a JSON list reads as one in the list schema; a string that merely starts with '[' doesn't
+        from_content = F.when(content_str.isNotNull() & (content_str != "") & plist["content"].isNull(), content_str)
         return F.coalesce(from_choices, from_list, from_content, raw)
 
     # Each shape is parsed once per row (bound), however often it is read; the

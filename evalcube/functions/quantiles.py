@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+from .joins import broadcast_written
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
@@ -34,21 +34,28 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                               buckets, accuracy)
         return one.drop("_all")
     v = F.col(value).cast("double")
-    base = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    # Equal values are counted before anything moves: a frequent value is one row,
+    # and only these counts are written, cut into ranges and ordered.
+    from ..session import scratch_path
+    base = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    path = scratch_path(df.sparkSession, "value-counts")
+    base.write.mode("overwrite").parquet(path)
+    base = df.sparkSession.read.schema(base.schema).parquet(path)
     cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     cuts = base.groupBy(*keys).agg(F.percentile_approx("_v", cut_probs, accuracy).alias("_cuts"))
     # Groups x buckets values: a dimension-sized table, broadcast after a size check.
     # Range of a value = number of cuts below it: its first position in the
     # sorted cuts with the value added (plain array functions, no lambda).
-    binned = base.join(broadcast_if_small(cuts), keys).select(
-        *keys, "_v", (F.array_position(F.sort_array(F.concat("_cuts", F.array("_v"))), F.col("_v")) - 1)
+    binned = base.join(broadcast_written(cuts, "cuts"), keys).select(
+        *keys, "_v", "_n", (F.array_position(F.sort_array(F.concat("_cuts", F.array("_v"))), F.col("_v")) - 1)
         .cast("int").alias("_b"))
     # Written once to the shared folder: the counts and the ordering below read
     # this copy instead of scanning the input again (two scans in total).
     from ..session import checkpoint_df
     binned = checkpoint_df(binned)
     counts = binned.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        F.sum("_n").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.withColumn("_start", F.sum("_c").over(w) - F.col("_c"))
 
@@ -63,11 +70,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     flat = located.filter(F.col("_lo") == F.col("_hi")).select(*keys, "_pi", "_pos", "_r", F.col("_lo").alias("_val"))
     need = located.filter(F.col("_lo") != F.col("_hi"))
     need_b = need.select(*keys, "_b", "_start").distinct()
-    rows = binned.select(*keys, "_b", "_v").join(broadcast_if_small(need_b), keys + ["_b"])
+    rows = binned.select(*keys, "_b", "_v", "_n").join(broadcast_written(need_b, "ranges"), keys + ["_b"])
     wr = Window.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_start"))
-    picked = need.select(*keys, "_pi", "_pos", "_r").join(ranked.select(*keys, "_r", F.col("_v").alias("_val")),
-                                                          keys + ["_r"])
+    ranked = rows.withColumn("_r0", F.sum("_n").over(wr) - F.col("_n") + F.col("_start"))
+    picked = (need.select(*keys, "_b", "_pi", "_pos", "_r")
+              .join(ranked.select(*keys, "_b", "_r0", "_n", F.col("_v").alias("_val")), keys + ["_b"])
+              .filter((F.col("_r") >= F.col("_r0")) & (F.col("_r") < F.col("_r0") + F.col("_n")))
+              .select(*keys, "_pi", "_pos", "_r", "_val"))
     vals = flat.unionByName(picked)
     per_p = vals.groupBy(*keys, "_pi", "_pos").agg(
         F.min_by("_val", "_r").alias("_vlo"), F.max_by("_val", "_r").alias("_vhi"))

@@ -32,14 +32,16 @@ def matrix_input(scored: DataFrame) -> DataFrame:
                   .filter(F.col("T").isin(TASKS) & F.col("L").isin(LEVELS) & F.col("D").isin(DOMAINS)))
 
 
-def model_matrix(scored: DataFrame, ids: DataFrame, levels: list[str] | None = None) -> DataFrame:
+def model_matrix(scored: DataFrame, ids: DataFrame, levels: list[str] | None = None,
+                 tasks: list[str] | None = None) -> DataFrame:
     """Long matrix: per (model, "T L", D) the last value (largest id), the mean and the count.
 
-    ``levels`` restricts the rows (``["L1"]`` keeps only the rows the original
-    33-row layout can fill). One partially aggregated group-by; a hot cell is
+    ``levels`` and ``tasks`` restrict the rows (the 33-row layout holds T1 to T11). One partially aggregated group-by; a hot cell is
     folded map-side into one buffer per task.
     """
     m = matrix_input(scored)
+    if tasks:
+        m = m.filter(F.col("T").isin(tasks))
     if levels:
         m = m.filter(F.col("L").isin(levels))
     agg = m.groupBy(ALIAS_COL, "T", "L", "D").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import broadcast_if_small
+from ..functions.joins import broadcast_written
 
 from ..functions.quantiles import exact_quantiles
 from .clean import ALIAS_COL
@@ -111,7 +111,7 @@ def histogram(df: DataFrame, value: str = "quality", bins: int = 30) -> DataFram
 
     def edge(i):
         return F.col("lo") + i * w
-    binned = df.filter(v.isNotNull()).join(broadcast_if_small(stats), ALIAS_COL).withColumn("_g", guess).select(
+    binned = df.filter(v.isNotNull()).join(broadcast_written(stats, "histogram-ranges"), ALIAS_COL).withColumn("_g", guess).select(
         ALIAS_COL,
         F.when((F.col("_g") > 0) & (v < edge(F.col("_g"))), F.col("_g") - 1)
          .when((F.col("_g") < bins - 1) & (v >= edge(F.col("_g") + 1)), F.col("_g") + 1)

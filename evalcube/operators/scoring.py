@@ -120,22 +120,27 @@ def judge_batch(df: DataFrame, scorer: Scorer = offline_scorer, concurrency: int
 
     The scorer sees pandas frames and returns one reply text per row (a
     network judge plugs in here). ``concurrency`` bounds parallel calls by
-    hash-partitioning the work into that many tasks. A scorer error fails
-    only its rows: they get ``judge_error`` and no reply.
+    hash-partitioning the work into that many tasks. When a batch
+    fails its rows are scored one by one; only those that fail again get
+    ``judge_error`` and no reply.
     """
     src = df.repartition(concurrency, "id") if concurrency else df
     schema = T.StructType(list(src.schema.fields) + [
         T.StructField("eval_response", T.StringType()), T.StructField("judge_error", T.StringType())])
 
+    def one(row):
+        try:
+            return scorer(row).iloc[0], None
+        except Exception as exc:  # noqa: BLE001 - reported on the row
+            return None, f"{type(exc).__name__}: {exc}"
+
     def run(batches):
         for pdf in batches:
             try:
-                pdf["eval_response"] = scorer(pdf).astype("object")
-                pdf["judge_error"] = None
-            except Exception as exc:  # noqa: BLE001 - reported per row
-                pdf["eval_response"] = None
-                pdf["judge_error"] = f"{type(exc).__name__}: {exc}"[:500]
-            yield pdf
+                replies, errors = scorer(pdf).astype("object"), None
+            except Exception:  # noqa: BLE001 - each row by itself shows which one fails
+                replies, errors = zip(*(one(pdf.iloc[[i]]) for i in range(len(pdf))))
+            yield pdf.assign(eval_response=list(replies), judge_error=list(errors) if errors else None)
 
     judged = src.mapInPandas(run, schema)
     text = judge_text(F.col("eval_response"))

@@ -46,10 +46,10 @@ def model_matrix(spark, sf_dir):
 
 @query("model_matrix_l1", cube_sql(MATRIX_CTES + """
 SELECT answerer_llm_alias, llm_id, row_key, T, L, D, quality_last, quality_mean, tokens_last, n
-FROM mm WHERE L = 'L1'"""))
+FROM mm WHERE L = 'L1' AND T <> 'T12'"""))
 def model_matrix_l1(spark, sf_dir):
     st = _stage(spark, sf_dir)
-    return M.model_matrix(scored_slim(spark, sf_dir), st["ids"], levels=["L1"])
+    return M.model_matrix(scored_slim(spark, sf_dir), st["ids"], levels=["L1"], tasks=[f"T{i}" for i in range(1, 12)])
 
 
 def _best_sql(metric: str, order: str) -> str:

@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LABEL_COLUMNS = ["label_task", "label_level", "label_domain"]
 
@@ -22,24 +23,28 @@ RECORD_DDL = ("id BIGINT, lr_answer_bronze_id BIGINT, source_id STRING, messages
               "label_task STRING, label_level STRING, label_domain STRING, answerer_llm_alias STRING, "
               "response STRING, content STRING, status_code INT, eval_result STRING")
 
+# Without these a response log cannot be judged.
+REQUIRED = ["id", "answerer_llm_alias", "label_task"]
+
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_OUTSIDE_QUOTES = r"\b(?=(?:[^'\"]*['\"][^'\"]*['\"])*[^'\"]*$)"
 _LIST_OPTS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def parse_list_literal(text: Column) -> Column:
     """Python list literal (or JSON array) -> ARRAY<STRING>; unreadable text -> NULL.
 
-    Bare None / True / False become their JSON spellings first.
+    Text that is no JSON list is read again with bare None / True / False, outside quotes, in JSON spelling.
     """
-    t = F.regexp_replace(text, r"\bNone\b", "null")
-    t = F.regexp_replace(t, r"\bTrue\b", "true")
-    t = F.regexp_replace(t, r"\bFalse\b", "false")
-    return F.from_json(t, "ARRAY<STRING>", _LIST_OPTS)
+    t = text
+    for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
+        t = F.regexp_replace(t, r"\b" + word + _OUTSIDE_QUOTES, json_word)
+    return F.coalesce(F.from_json(text, "ARRAY<STRING>", _LIST_OPTS), F.from_json(t, "ARRAY<STRING>", _LIST_OPTS))
 
 
 def to_list_literal(arr: Column) -> Column:
-    """ARRAY<STRING> -> Python list literal text (the shape response logs store)."""
-    return F.when(arr.isNotNull(), F.concat(F.lit("['"), F.array_join(arr, "', '"), F.lit("']")))
+    """ARRAY<STRING> -> JSON list text, also a list literal; quotes, null items and empty lists survive."""
+    return F.to_json(arr)
 
 
 def normalize_schema(df: DataFrame) -> DataFrame:
@@ -54,9 +59,21 @@ def _with_labels(df: DataFrame) -> DataFrame:
 
 
 def read_csv_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL) -> DataFrame:
-    """CSV response log: quoted multi-line fields, label lists as list literals."""
-    df = spark.read.options(**_CSV_OPTS).schema(ddl).csv(path)
-    return _with_labels(normalize_schema(df))
+    """CSV response log: quoted multi-line fields, label lists as list literals.
+
+    Columns are taken by header name, in any order and under legacy names.
+    """
+    return _with_labels(_by_name(normalize_schema(read_csv_strings(spark, path)), ddl))
+
+
+def _by_name(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns of ``ddl`` by name: text cast where it can be, NULL where an optional column is absent."""
+    fields = T._parse_datatype_string(ddl).fields
+    missing = [c for c in REQUIRED if c in [f.name for f in fields] and c not in df.columns]
+    if missing:
+        raise ValueError(f"response log lacks {', '.join(missing)}; it has {', '.join(df.columns)}")
+    return df.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns
+                       else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
 
 
 def read_csv_strings(spark: SparkSession, path: str, keep_na: bool = False) -> DataFrame:
@@ -67,10 +84,19 @@ def read_csv_strings(spark: SparkSession, path: str, keep_na: bool = False) -> D
     return r.csv(path)
 
 
-def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL) -> DataFrame:
-    """JSON lines response log (label lists as JSON arrays or list-literal text)."""
-    df = spark.read.schema(ddl).json(path)
-    return _with_labels(normalize_schema(df))
+def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL, document: bool = False) -> DataFrame:
+    """JSON response log (label lists as JSON arrays or list-literal text).
+
+    ``document`` reads files that are one JSON document (an array of records or
+    one record); otherwise each line is a record. Unreadable records are left out.
+    """
+    names = [f.name for f in T._parse_datatype_string(ddl).fields]
+    old = [o for o, n in LEGACY_NAMES.items() if n in names]
+    both = ", ".join([ddl, *(f"{o} STRING" for o in old)])
+    df = spark.read.schema(both).option("multiLine", document).option("mode", "DROPMALFORMED").json(path)
+    for o in old:
+        df = df.withColumn(LEGACY_NAMES[o], F.coalesce(LEGACY_NAMES[o], o)).drop(o)
+    return _with_labels(df)
 
 
 def read_response_log(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,9 @@ RESULT_COLUMNS = ["eval_prompt", "eval_response", "eval_result"]
 def resume_merge(work: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Earlier results joined onto the work table as ``<col>_existing`` columns."""
     cols = [c for c in RESULT_COLUMNS if c in done.columns]
-    prev = done.select(key, *[F.col(c).alias(c + EXISTING_SUFFIX) for c in cols])
+    # one earlier row for each id, so that repeated results don't multiply the work
+    latest = done.groupBy(key).agg(F.max(F.struct(*cols)).alias("r")).select(key, "r.*")
+    prev = latest.select(key, *[F.col(c).alias(c + EXISTING_SUFFIX) for c in cols])
     return work.join(prev, key, "left")
 
 
@@ -56,6 +58,8 @@ def _judge_micro_batch(scorer: Scorer, sink_dir: str):
     # after a failure replaces its output instead of duplicating it.
     def run(batch: DataFrame, batch_id: int) -> None:
         work = eval_projection(batch).drop("eval_prompt", "eval_response", "eval_result")
+        # rows without a task label are not judged, in a stream as in a batch
+        work = work.filter(F.coalesce(F.size("label_task"), F.lit(0)) > 0)
         work = work.withColumn("primary_task", F.try_element_at("label_task", F.lit(1)))
         judged = judge_batch(with_judge_prompt(work), scorer)
         (judged.select("id", "lr_answer_bronze_id", "answerer_llm_alias", "template", "eval_response",
