@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_uid
+from .common import stage, with_uid
 from .shingles import buffers, words_of
 
 HASHED = 256
@@ -142,11 +142,13 @@ def platt(scorer: Scorer, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> Non
     scorer.a, scorer.b = float(w[0]), float(w[1])
 
 
-def _sample(rows: DataFrame, most: int):
-    """Features of at most about ``most`` rows (text, label), chosen by hash of the text."""
-    n = rows.count()
-    part = max(1, -(-n // most))
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(part)) == 0).limit(2 * most)
+def _chosen(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """About ``most`` of ``n`` rows, by hash of the row number; never more than twice as many."""
+    return rows.filter(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(max(1, -(-n // most)))) == 0).limit(2 * most)
+
+
+def _measured(some: DataFrame):
+    """Features and labels of (text, y) rows."""
 
     def measure(batches):
         for b in batches:
@@ -161,18 +163,25 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col: s
                   label_col: str = "quality", max_positive: int = 12_000, max_unlabelled: int = 24_000) -> DataFrame:
     """(uid, id, score), one row for each row of ``docs``; ``learn`` says which rows may be learned from."""
     rows = with_uid(docs)
-    teach = rows.filter(learn).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = teach.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IS NOT NULL"), "id")
+    teach = rows.filter(learn).select("uid", F.col(id_col).alias("id"))
+    marked = stage(teach.join(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+                              .filter("y IS NOT NULL"), "id").select("uid", "y"), "pu-labels")
+    text = rows.select("uid", F.col(text_col).alias("text"))
+
+    def sample(some: DataFrame, n: int, most: int):
+        # at most 2 * most row numbers, so the broadcast is bounded by the parameter and no text is moved
+        return _measured(text.join(F.broadcast(_chosen(some, n, most)), "uid"))
+
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     scorer = None
     if counts.get(1):
-        p, _ = _sample(marked.filter("y = 1").select("text", "y"), max_positive)
-        u, _ = _sample(teach.select("text", F.lit(-1).alias("y")), max_unlabelled)
+        p, _ = sample(marked.filter("y = 1"), counts[1], max_positive)
+        u, _ = sample(teach.select("uid", F.lit(-1).alias("y")), teach.count(), max_unlabelled)
         if len(p) and len(u):
             scorer = fit_nnpu(p, u, prior)
-            bad = _sample(marked.filter("y = 0").select("text", "y"), max_positive)[0] if counts.get(0) else p[:0]
+            bad = sample(marked.filter("y = 0"), counts[0], max_positive)[0] if counts.get(0) else p[:0]
             if len(bad):
                 platt(scorer, np.concatenate([p, bad]), np.concatenate([np.ones(len(p)), np.zeros(len(bad))]))
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
