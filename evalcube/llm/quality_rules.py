@@ -31,8 +31,9 @@ POOLED = "*"
 
 def _count(text: Column, chars: str) -> Column:
     """Characters of ``text`` in the set: what is left when runs of others are taken out."""
-    others = f"[^{chars}]+" if "&&" not in chars else f"[^[{chars}]]+"
-    return F.length(F.regexp_replace(text, others, ""))
+    if "&&" in chars:  # letters beyond ASCII: a text without any needs no look
+        return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(F.regexp_replace(text, f"[^[{chars}]]+", "")))
+    return F.length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def _let(value: Column, body) -> Column:
@@ -83,7 +84,7 @@ def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, gram: i
 
 
 def _short(words: Column, letters: int) -> Column:
-    return F.filter(F.transform(words, F.lower), lambda w: (F.length(w) <= letters) & w.rlike(r"^\p{L}+$"))
+    return F.transform(F.filter(words, lambda w: (F.length(w) <= letters) & w.rlike(r"^\p{L}+$")), F.lower)
 
 
 def js_distance(p: Column, q: Column) -> Column:

@@ -135,11 +135,11 @@ sound AS (SELECT own.lang AS ref, c.* FROM c JOIN own USING (lang) WHERE NOT bas
           UNION ALL SELECT '*' AS ref, c.* FROM c WHERE NOT base_failed),
 qc AS (SELECT ref, [sum(c1), sum(c2), sum(c3), sum(c4), sum(c5), sum(c6), sum(c7), sum(c8)] AS q, sum(n_words) AS n FROM sound GROUP BY 1),
 short AS (SELECT doc_id, ref, lower(x) AS x FROM (SELECT doc_id, ref, unnest(w) AS x FROM sound)
-          WHERE length(lower(x)) <= 5 AND regexp_matches(lower(x), '^\p{L}+$')),
+          WHERE length(x) <= 5 AND regexp_matches(x, '^\p{L}+$')),
 k AS (SELECT ref, x, n, row_number() OVER (PARTITION BY ref ORDER BY n DESC, x) AS r FROM (SELECT ref, x, count(*) AS n FROM short GROUP BY 1, 2)),
 top AS (SELECT * FROM k WHERE r <= 16),
 qw AS (SELECT ref, list(x ORDER BY r) AS words, list(n ORDER BY r) AS q, sum(n) AS known FROM top GROUP BY 1),
-dw AS (SELECT doc_id, ref, lower(x) AS x, count(*) AS n FROM (SELECT doc_id, ref, unnest(w) AS x FROM e) GROUP BY 1, 2, 3),
+dw AS (SELECT doc_id, ref, lower(x) AS x, count(*) AS n FROM (SELECT doc_id, ref, unnest(w) AS x FROM e) WHERE length(x) <= 5 AND regexp_matches(x, '^\p{L}+$') GROUP BY 1, 2, 3),
 hit AS (SELECT doc_id, r, dw.n FROM dw JOIN top ON dw.ref = top.ref AND dw.x = top.x),
 bins AS (
   SELECT doc_id, 'c' AS kind, i, [c1, c2, c3, c4, c5, c6, c7, c8][i]::DOUBLE AS p, q[i]::DOUBLE AS q
