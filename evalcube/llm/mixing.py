@@ -168,7 +168,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = place.select("uid", "src", "start", "size", F.explode(F.expr(
         f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
-    slices = (cells.join(drawn, ["src", "block"])
+    # the planner sees the few rows that the slots are drawn from; without the hint it would broadcast them all
+    slices = (cells.join(drawn.hint("merge"), ["src", "block"])
               .select("uid", "shard", "slot", "pass", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words"))
               .filter("n_words > 0"))
     return rows.select("uid", "id", "source", "size", "source_size", "target"), slices
