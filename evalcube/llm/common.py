@@ -17,11 +17,21 @@ from ..session import scratch_path, work_dir
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that a Python worker is handed at once while a table is staged; texts may be long.
+BATCH_ROWS = 2_000
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut all executors can read."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.mode("overwrite").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
