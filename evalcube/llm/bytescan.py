@@ -66,11 +66,12 @@ def gram_keys(buf: np.ndarray) -> np.ndarray:
 
 
 def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each run of ``w`` (a power of two) keys; len(keys) - w + 1 values."""
+    """Minimum of each run of ``w`` keys; len(keys) - w + 1 values."""
     m, s = keys, 1
     while s < w:
-        m = np.minimum(m[:-s], m[s:]) if len(m) > s else m[:0]
-        s *= 2
+        step = min(s, w - s)
+        m = np.minimum(m[:-step], m[step:]) if len(m) > step else m[:0]
+        s += step
     return m
 
 

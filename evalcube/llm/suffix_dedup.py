@@ -393,15 +393,21 @@ def _starts(text: bytes, kept: np.ndarray, length: int, window: int):
     return buf, p, at[p]
 
 
+def _mask_names(window: int) -> list[str]:
+    """Columns of 64-bit masks, a bit for each distance below ``window``."""
+    return [f"m{k}" for k in range(window // 64)]
+
+
 def _open_masks(length: int, window: int):
-    """(uid, text, kept, full) -> (f, lo, hi): distances to the anchor at which some string isn't covered yet."""
+    """(uid, text, kept, full) -> (f, m0, m1, ...): distances to the anchor at which some string isn't covered yet."""
     keep = length - window + 1
+    names = _mask_names(window)
 
     def scan(batches):
         for b in batches:
             kept, off = flat(b.column(2))
             full, offf = flat(b.column(3))
-            fs, lo, hi = [], [], []
+            cols = [[] for _ in range(1 + len(names))]
             for i, t in enumerate(b.column(1).to_pylist()):
                 buf, p, a = _starts(t, kept[off[i]:off[i + 1]].astype(np.int64), length, window)
                 cov = _ranges(full[offf[i]:offf[i + 1]].astype(np.int64), length, len(buf))
@@ -412,27 +418,27 @@ def _open_masks(length: int, window: int):
                     continue
                 d = (a - p).astype(np.uint64)
                 first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                low = np.where(d < 64, np.uint64(1) << (d & np.uint64(63)), np.uint64(0))
-                high = np.where(d >= 64, np.uint64(1) << (d & np.uint64(63)), np.uint64(0))
-                fs.append(WindowHash(buf).at(a[first], keep).view(np.int64))
-                lo.append(np.bitwise_or.reduceat(low, first).view(np.int64))
-                hi.append(np.bitwise_or.reduceat(high, first).view(np.int64))
-            if fs:
-                yield _batch([fs, lo, hi], ["f", "lo", "hi"])
+                bit, word = np.uint64(1) << (d & np.uint64(63)), d >> np.uint64(6)
+                cols[0].append(WindowHash(buf).at(a[first], keep).view(np.int64))
+                for k in range(len(names)):
+                    mask = np.where(word == k, bit, np.uint64(0))
+                    cols[1 + k].append(np.bitwise_or.reduceat(mask, first).view(np.int64))
+            if cols[0]:
+                yield _batch(cols, ["f", *names])
     return scan
 
 
 def _open_strings(length: int, window: int):
-    """(part, text, at[], lo[], hi[]) -> (part, h): hash of every string at an asked distance, once a batch."""
+    """(part, text, at[], masks[]...) -> (part, h, n): hash of every string at an asked distance, once a batch."""
 
     def scan(batches):
         for b in batches:
             part = b.column(0).to_numpy(zero_copy_only=False)
             at, off = flat(b.column(2))
-            lo, hi = flat(b.column(3))[0], flat(b.column(4))[0]
+            masks = [flat(b.column(3 + k))[0] for k in range(window // 64)]
             parts, hs = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                p = _asked(at[off[i]:off[i + 1]], lo[off[i]:off[i + 1]], hi[off[i]:off[i + 1]], t, length, window)
+                p = _asked(at[off[i]:off[i + 1]], [m[off[i]:off[i + 1]] for m in masks], t, length, window)
                 h = WindowHash(np.frombuffer(t, np.uint8)).at(p, length).view(np.int64)
                 parts.append(np.full(len(h), part[i], np.int32))
                 hs.append(h)
@@ -447,9 +453,11 @@ def _open_strings(length: int, window: int):
     return scan
 
 
-def _asked(at, lo, hi, text, length, window):
+def _asked(at, masks, text, length, window):
     """Starts p = anchor - d for every asked d, where the anchor of p is that one."""
-    bits = np.unpackbits(np.stack([lo, hi], 1).view(np.uint8), axis=1, bitorder="little")
+    if not len(at):
+        return np.zeros(0, np.int64)
+    bits = np.unpackbits(np.stack(masks, 1).view(np.uint8), axis=1, bitorder="little")
     r, d = np.nonzero(bits)
     p = at[r].astype(np.int64) - d
     ok = (p >= 0) & (p + length <= len(text))
@@ -463,10 +471,10 @@ def _spans(length: int, window: int):
 
     def join(docs: pa.Table, twice: pa.Table) -> pa.Table:
         at, off = flat(docs.column("at"))
-        lo, hi = flat(docs.column("lo"))[0], flat(docs.column("hi"))[0]
+        masks = [flat(docs.column(m))[0] for m in _mask_names(window)]
         full, offf = flat(docs.column("full"))
         texts = docs.column("raw").to_pylist()
-        starts = [_asked(at[off[i]:off[i + 1]], lo[off[i]:off[i + 1]], hi[off[i]:off[i + 1]], t, length, window)
+        starts = [_asked(at[off[i]:off[i + 1]], [m[off[i]:off[i + 1]] for m in masks], t, length, window)
                   for i, t in enumerate(texts)]
         h = [WindowHash(np.frombuffer(t, np.uint8)).at(p, length).view(np.int64) for t, p in zip(texts, starts)]
         hit = np.isin(np.concatenate([*h, np.zeros(0, np.int64)]), twice.column("h").to_numpy())
@@ -484,13 +492,14 @@ def _spans(length: int, window: int):
     return join
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_docs: int = 256) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_docs: int = 256) -> DataFrame:
     """(uid, starts array<int>, lengths array<int>) of documents with repeats; docs: (uid, raw binary).
 
     ``uid`` numbers the rows; documents without repeats have no row.
     """
-    if window != 128 or length < 2 * window:
-        raise ValueError("window is 128 (two 64-bit masks hold the distances) and length at least 256")
+    if window % 64 or length < window + GRAM:
+        raise ValueError("window is a multiple of 64 (64-bit masks hold the distances), length at least window + 8")
+    masks = _mask_names(window)
     prints = stage(docs.select("uid", "raw").filter(F.length("raw") >= length).mapInArrow(
         _anchor_prints(length, window), "f bigint, uid bigint, at int"), "sa-prints")
     again = prints.groupBy("f").count().filter("count > 1").select("f")
@@ -515,20 +524,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 128, part_d
 
     none = F.array().cast("array<int>")
     both = cand.join(full, "uid", "left").withColumn("full", F.coalesce("full", none))
-    asked = (both.select("uid", "raw", "kept", "full").mapInArrow(_open_masks(length, window), "f bigint, lo bigint, hi bigint")
-             .groupBy("f").agg(F.bit_or("lo").alias("lo"), F.bit_or("hi").alias("hi")))
+    asked = (both.select("uid", "raw", "kept", "full").mapInArrow(_open_masks(length, window), "f bigint, " + ", ".join(f"{m} bigint" for m in masks))
+             .groupBy("f").agg(*(F.bit_or(m).alias(m) for m in masks)))
     per_doc = (cand.mapInArrow(_kept_prints(length, window), "f bigint, uid bigint, at int").join(asked, "f").groupBy("uid")
-               .agg(F.sort_array(F.collect_list(F.struct("at", "lo", "hi"))).alias("m")))
+               .agg(F.sort_array(F.collect_list(F.struct("at", *masks))).alias("m")))
     part = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)).cast("int")
     n_parts = max(1, cand.count() // part_docs)
     work = stage(both.join(per_doc, "uid", "left")
                  .select("uid", "raw", (part % n_parts).alias("part"), "full",
                          *(F.coalesce(F.col(f"m.{c}"), F.array().cast(t)).alias(c)
-                           for c, t in (("at", "array<int>"), ("lo", "array<bigint>"), ("hi", "array<bigint>")))),
+                           for c, t in (("at", "array<int>"), *((m, "array<bigint>") for m in masks)))),
                  "sa-work")
     release(cand, full)
     # a string's rows are one for each batch that holds it, with how often it does
-    strings = work.select("part", "raw", "at", "lo", "hi").mapInArrow(
+    strings = work.select("part", "raw", "at", *masks).mapInArrow(
         _open_strings(length, window), "part int, h bigint, n bigint")
     twice = strings.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
     out = work.groupBy("part").cogroup(twice.select("part", "h").groupBy("part")).applyInArrow(
