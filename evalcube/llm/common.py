@@ -140,8 +140,10 @@ def running_sum(df: DataFrame, keys: list[str], value: str, out: str, name: str)
         carry.append((pid, total))
         total += s
     prior = spark.createDataFrame(carry or [(-1, 0)], "_pid int, _carry long")
-    return (done.join(F.broadcast(prior), "_pid")
+    rows = (done.join(F.broadcast(prior), "_pid")
             .withColumn(out, F.col("_run") + F.col("_carry")).drop("_run", "_pid", "_carry"))
+    rows._staged_at = done._staged_at
+    return rows
 
 
 def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:

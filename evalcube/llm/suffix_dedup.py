@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import WindowHash, anchors, sliding_min, gram_keys  # noqa: F401
-from .common import flat, list_array, partition_id, release, running_max, stage, with_uid
+from .common import flat, list_array, partition_id, release, running_max, running_sum, stage, with_uid
 
 GRAM = 8
 #: Bytes scanned at once; longer texts go in overlapping slabs.
@@ -85,14 +85,12 @@ def _anchor_prints(length: int, window: int):
                 buf = np.frombuffer(raw, np.uint8)
                 at = anchors(buf, window)
                 w = np.array(where, np.int64)
-                # starts p with p + length inside their own slab
-                n = w[:, 3] - length + 1
-                p = np.repeat(w[:, 2] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                slab = np.repeat(np.arange(len(w)), n)
-                a = at[p]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (slab[1:] != slab[:-1])
-                a, slab = a[new], slab[new]
+                # the first start of each slab and every start at which the anchor changes;
+                # starts p have p + length inside their own slab
+                p = np.union1d(w[:, 2], np.flatnonzero(at[1:] != at[:-1]) + 1)
+                slab = np.searchsorted(w[:, 2], p, "right") - 1
+                own = p <= (w[:, 2] + w[:, 3] - length)[slab]
+                a, slab = at[p[own]], slab[own]
                 h = WindowHash(buf).at(a, keep).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(uid[w[slab, 0]]), pa.array((a - w[slab, 2] + w[slab, 1]).astype(np.int32))],
@@ -232,43 +230,59 @@ def _triples(batches):
 
 
 def _shrink(batches):
-    """Level joined with the names of its sample -> the level of the recursion."""
+    """Level joined with the names of its sample -> the level of the recursion.
+
+    Only suffixes of open names (written as negative numbers) and the sampled one
+    after each of them are needed: any other is placed by its name alone, so
+    chains end at the first name that is not open.
+    """
     for b in batches:
         names, off = flat(b.column("names"))
-        out, n, uids = [[], [], [], []], [], []
+        out, n, uids = [[] for _ in range(6)], [], []
         for r, u, pos, nxt, sym, cov, depth in _chains(b):
-            i = np.flatnonzero(depth % 3 != 0)
-            if not len(i):
+            name = names[off[r]:off[r + 1]]
+            is_open = name < 0
+            if not is_open.any():
                 continue
+            i = np.flatnonzero(depth % 3 != 0)
             j = _step(nxt, i)
             k = _step(nxt, j)
             third = _step(nxt, k)
             place = np.full(len(pos) + 1, -1, np.int64)
             place[i] = np.arange(len(i))
+            after = np.where(is_open & (third >= 0), place[third], -1)
+            keep = is_open.copy()
+            keep[after[after >= 0]] = True
             end = np.where(k >= 0, pos[k] - pos[i] + cov[k], _OPEN)
-            for o, v in zip(out, (pos[i], np.where(third >= 0, place[third], -1), names[off[r]:off[r + 1]],
-                                  np.minimum(end, _OPEN))):
-                o.append(v)
-            n.append(len(i))
+            new = np.full(len(i) + 1, -1, np.int64)
+            new[np.flatnonzero(keep)] = np.arange(keep.sum())
+            for o, v in zip(out, (pos[i], new[after], np.abs(name), np.where(is_open, np.minimum(end, _OPEN), _OPEN),
+                                  np.arange(len(i)), is_open)):
+                o.append(v[keep])
+            n.append(int(keep.sum()))
             uids.append(u)
         if n:
-            typ = [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            typ = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uids, pa.int64()),
                  *(list_array(np.concatenate(o).astype(t.to_pandas_dtype()), n, t) for o, t in zip(out, typ))],
-                names=["uid", "pos", "nxt", "sym", "cov"])
+                names=["uid", "pos", "nxt", "sym", "cov", "place", "open"])
 
 
 def _merge_rows(batches):
     """Every suffix with the keys that place it: typ 0 is not in the sample, 1 and 2 are."""
     for b in batches:
-        ranks, off = flat(b.column("ranks"))
+        names, off = flat(b.column("names"))
+        places, offp = flat(b.column("places"))
+        ranks = flat(b.column("ranks"))[0]
         out = [[] for _ in range(8)]
         for r, u, pos, nxt, sym, cov, depth in _chains(b):
             i = np.arange(len(pos))
             typ = depth % 3
             rank = np.zeros(len(pos), np.int64)
-            rank[typ != 0] = ranks[off[r]:off[r + 1]]
+            sampled = np.abs(names[off[r]:off[r + 1]])
+            sampled[places[offp[r]:offp[r + 1]]] = ranks[offp[r]:offp[r + 1]]
+            rank[typ != 0] = sampled
             j = _step(nxt, i)
             k = _step(nxt, j)
             for o, v in zip(out, (np.full(len(i), u, np.int64), i.astype(np.int32), typ.astype(np.int32), sym,
@@ -284,6 +298,19 @@ def _gathered(rows: DataFrame, value: str, out: str) -> DataFrame:
     return packed.select("uid", F.transform("_a", lambda x: x[value]).alias(out))
 
 
+def _dense(rows: DataFrame, rank: str) -> DataFrame:
+    """``rows`` with the row numbers ``rank`` (partition, row in it) made gapless; one count for each partition is collected."""
+    part = F.shiftright(rank, 33)
+    counts = sorted(tuple(r) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, carry = 0, []
+    for p, n in counts:
+        carry.append((p, before - (p << 33)))
+        before += n
+    prior = rows.sparkSession.createDataFrame(carry or [(-1, 0)], "_p long, _carry long")
+    return (rows.withColumn("_p", part).join(F.broadcast(prior), "_p").withColumn(rank, F.col(rank) + F.col("_carry"))
+            .drop("_p", "_carry"))
+
+
 def suffix_order(level: DataFrame, length: int, tag: str = "sa", depth: int = 0) -> DataFrame:
     """(uid, i, rank): all suffixes of the symbol chains of ``level`` in sorted order.
 
@@ -293,25 +320,38 @@ def suffix_order(level: DataFrame, length: int, tag: str = "sa", depth: int = 0)
     name = f"{tag}{depth}"
     triples = level.mapInArrow(_triples, "uid bigint, i int, t0 bigint, t1 bigint, t2 bigint, cov int")
     t = ["t0", "t1", "t2"]
-    names = stage(triples.groupBy(*t).agg(F.count("*").alias("n"), F.min("cov").alias("cov"))
-                  .repartitionByRange(*t).sortWithinPartitions(*t)
-                  .withColumn("name", F.monotonically_increasing_id() + 1), f"{name}-names")
-    named = _gathered(triples.select("uid", "i", *t).join(names.select(*t, "name"), t), "name", "names")
+    # a name is 1 + the number of sampled suffixes of smaller names
+    names = running_sum(triples.groupBy(*t).agg(F.count("*").alias("n"), F.min("cov").alias("cov")), t, "n", "before",
+                        f"{name}-names")
+    is_open = (F.col("n") > 1) & (F.col("cov") < length)
+    names_of = names.select(*t, F.when(is_open, -1 - F.col("before")).otherwise(1 + F.col("before")).alias("name"))
     empty = F.array().cast("array<bigint>")
-    sample = stage(level.join(named, "uid", "left").withColumn("names", F.coalesce("names", empty))
-                   .mapInArrow(_shrink, _LEVEL), f"{name}-sample")
-    open_names = not names.filter((F.col("n") > 1) & (F.col("cov") < length)).isEmpty()
-    release(names)
-    deeper = None
-    if not open_names:
-        ranks = sample.select("uid", F.col("sym").alias("ranks"))
+    named = stage(level.join(_gathered(triples.select("uid", "i", *t).join(names_of, t), "name", "names"), "uid", "left")
+                  .withColumn("names", F.coalesce("names", empty)), f"{name}-named")
+    done = [named]
+    if names.filter(is_open).isEmpty():
+        placed = named.withColumn("places", F.array().cast("array<int>")).withColumn("ranks", empty)
+        release(names)
     else:
-        deeper = suffix_order(sample, length, tag, depth + 1)
-        ranks = _gathered(deeper, "rank", "ranks")
-    rows = stage(level.join(ranks, "uid", "left").withColumn("ranks", F.coalesce("ranks", empty))
-                 .mapInArrow(_merge_rows, "uid bigint, i int, typ int, s0 bigint, s1 bigint, r1 bigint, r2 bigint, "
-                             "r bigint"), f"{name}-rows")
-    release(sample, *([deeper] if deeper is not None else []))
+        release(names)
+        sample = stage(named.mapInArrow(_shrink, _LEVEL + ", place array<int>, open array<boolean>"), f"{name}-sample")
+        deeper = suffix_order(sample.drop("place", "open"), length, tag, depth + 1)
+        refined = (sample.select("uid", F.posexplode(F.arrays_zip("sym", "place", "open")).alias("i", "x")).filter("x.open")
+                   .select("uid", "i", F.col("x.sym").alias("sym"), F.col("x.place").alias("place"))
+                   .join(_dense(deeper, "rank"), ["uid", "i"]))
+        refined = stage(refined.select("uid", "sym", "place", "rank"), f"{name}-refined")
+        release(sample, deeper)
+        # suffixes of one name are neighbours in the deeper order: their places there count on from the name
+        low = refined.groupBy("sym").agg(F.min("rank").alias("low"))
+        over = (refined.join(low, "sym").groupBy("uid")
+                .agg(F.sort_array(F.collect_list(F.struct("place", (F.col("sym") + F.col("rank") - F.col("low")).alias("rank")))).alias("o")))
+        placed = named.join(over, "uid", "left").select(
+            *named.columns, F.coalesce("o.place", F.array().cast("array<int>")).alias("places"),
+            F.coalesce("o.rank", empty).alias("ranks"))
+        done.append(refined)
+    rows = stage(placed.mapInArrow(_merge_rows, "uid bigint, i int, typ int, s0 bigint, s1 bigint, r1 bigint, r2 bigint, "
+                                   "r bigint"), f"{name}-rows")
+    release(*done)
     # the last sampled suffix before each remaining one: among class 2 and among class 1
     a = running_max(rows.filter("typ <> 1").select("uid", "i", "typ", "s0", "r1", F.when(F.col("typ") == 2, F.col("r")).alias("r")),
                     ["s0", "r1"], "r", "top", f"{name}-a")
