@@ -4,6 +4,8 @@ A passage is any string of ``length`` bytes that starts at two or more places of
 the corpus (the same document included); every byte it covers is marked.
 
 Method
+0. A text that occurs again as a whole is covered as a whole; one of its rows stands
+   for all of them in what follows.
 1. Anchors: for each byte position p the smallest hashed 8-byte gram among the
    next ``window`` ones. Equal strings have equal anchors, about 2 / window of
    all positions are one. A string of ``length`` bytes holds the whole prefix of
@@ -39,6 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -527,8 +530,9 @@ def _spans(length: int, window: int):
             ln.append((edge[1::2] - edge[::2]).astype(np.int32))
             n.append(len(edge) // 2)
         none = [np.zeros(0, np.int32)]
-        return pa.table({"uid": docs.column("uid").combine_chunks(), "starts": list_array(np.concatenate(st + none), n, pa.int32()),
-                         "lengths": list_array(np.concatenate(ln + none), n, pa.int32())})
+        out = pa.table({"uid": docs.column("uid").combine_chunks(), "starts": list_array(np.concatenate(st + none), n, pa.int32()),
+                        "lengths": list_array(np.concatenate(ln + none), n, pa.int32())})
+        return out.filter(pa.compute.invert(docs.column("copied")))
     return join
 
 
@@ -540,11 +544,16 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_d
     if window % 64 or length < window + GRAM:
         raise ValueError("window is a multiple of 64 (64-bit masks hold the distances), length at least window + 8")
     masks = _mask_names(window)
+    # texts that occur again as a whole: all of each is covered, one stands for them all
+    print_of = ["size", "x", "c"]
+    texts = stage(docs.filter(F.length("raw") >= length).select(
+        "uid", F.length("raw").alias("size"), F.xxhash64("raw").alias("x"), F.crc32("raw").alias("c")), "sa-texts")
+    classes = stage(texts.groupBy(*print_of).agg(F.min("uid").alias("uid"), (F.count("*") > 1).alias("copied")), "sa-classes")
     prints = stage(docs.select("uid", "raw").filter(F.length("raw") >= length).mapInArrow(
         _anchor_prints(length, window), "f bigint, uid bigint, at int"), "sa-prints")
     again = prints.groupBy("f").count().filter("count > 1").select("f")
     kept = prints.join(again, "f", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_set("at")).alias("kept"))
-    kept = stage(kept, "sa-kept")
+    kept = stage(kept.join(classes.select("uid", "copied"), "uid"), "sa-kept")
     release(prints)
     cand = stage(docs.select("uid", "raw").join(kept, "uid"), "sa-candidates")
     release(kept)
@@ -564,14 +573,14 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_d
 
     none = F.array().cast("array<int>")
     both = cand.join(full, "uid", "left").withColumn("full", F.coalesce("full", none))
-    asked = (both.select("uid", "raw", "kept", "full").mapInArrow(_open_masks(length, window), "f bigint, " + ", ".join(f"{m} bigint" for m in masks))
+    asked = (both.filter("not copied").select("uid", "raw", "kept", "full").mapInArrow(_open_masks(length, window), "f bigint, " + ", ".join(f"{m} bigint" for m in masks))
              .groupBy("f").agg(*(F.bit_or(m).alias(m) for m in masks)))
     per_doc = (cand.mapInArrow(_kept_prints(length, window), "f bigint, uid bigint, at int").join(asked, "f").groupBy("uid")
                .agg(F.sort_array(F.collect_list(F.struct("at", *masks))).alias("m")))
     part = F.pmod(F.xxhash64("uid"), F.lit(1 << 30)).cast("int")
     n_parts = max(1, cand.count() // part_docs)
     work = stage(both.join(per_doc, "uid", "left")
-                 .select("uid", "raw", (part % n_parts).alias("part"), "full",
+                 .select("uid", "raw", "copied", (part % n_parts).alias("part"), "full",
                          *(F.coalesce(F.col(f"m.{c}"), F.array().cast(t)).alias(c)
                            for c, t in (("at", "array<int>"), *((m, "array<bigint>") for m in masks)))),
                  "sa-work")
@@ -582,8 +591,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_d
     twice = strings.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("all > 1")
     out = work.groupBy("part").cogroup(twice.select("part", "h").groupBy("part")).applyInArrow(
         _spans(length, window), "uid bigint, starts array<int>, lengths array<int>")
-    out = stage(out.filter(F.size("starts") > 0), "sa-spans")
-    release(work)
+    whole = texts.join(classes.filter("copied").select(*print_of), print_of, "left_semi").select(
+        "uid", F.array(F.lit(0)).alias("starts"), F.array("size").alias("lengths"))
+    out = stage(out.filter(F.size("starts") > 0).union(whole), "sa-spans")
+    release(work, texts, classes)
     return out
 
 
