@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -61,6 +62,14 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def give_back_memory() -> None:
+    """Return freed buffers of a Python worker to the system: it may stay idle beside other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps them otherwise
+    if trim is not None:
+        trim(0)
+
+
 def partition_id() -> int:
     return TaskContext.get().partitionId()
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix
-from .common import connected_components, release, stage, with_uid
+from .common import connected_components, give_back_memory, release, stage, with_uid
 from .shingles import buffers, shingle_sets
 
 U = np.uint64
@@ -72,6 +72,7 @@ def _signatures(width: int, percent: int):
                 [uid, pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
                  pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(pre, pa.binary()), b.column(2)],
                 names=["uid", "n", "s1", "s2", "prefix", "id"])
+        give_back_memory()
     return scan
 
 
@@ -91,6 +92,7 @@ def _sets(width: int):
             for _, part in buffers([t or b"" for t in b.column(1).to_pylist()]):
                 sets += [s.tobytes() for s in shingle_sets(part, width)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["uid", "tokens"])
+        give_back_memory()
     return scan
 
 
@@ -110,6 +112,7 @@ def _verify(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+        give_back_memory()
     return scan
 
 

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partition_id, stage, with_uid
+from .common import give_back_memory, partition_id, stage, with_uid
 from .shingles import buffers, words_of
 
 _tokenizers: dict[str, object] = {}
@@ -60,7 +60,7 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, their numbers
         self.pieces: dict[str, bytes] = {"": b""}
         self.ids = np.zeros(1 << 16, np.uint32)  # grows; self.used of it are filled
         self.used = 0
@@ -82,7 +82,12 @@ class WordIds:
             else:
                 self.pieces.update((w, self._one(w)) for w in some)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def rest(self) -> None:
+        """Between tasks: the pieces go, as the worker may stay idle beside other work; words keep their ids."""
+        self.pieces = {"": b""}
+        give_back_memory()
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         split = []
         for w in words:
             plain = w.isascii() or (max(w) < "\u0250" and unicodedata.is_normalized("NFC", w))
@@ -102,7 +107,16 @@ class WordIds:
         self.first[n:n + len(words)] = self.used + np.cumsum(count) - count
         self.count[n:n + len(words)] = count
         self.used += len(ids)
-        self.place.update(zip(hashes, range(n, n + len(words))))
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.place = known[order], np.concatenate([self.place, np.arange(n, n + len(words))])[order]
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 if it isn't known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.place[at], -1)
 
     def of_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -112,11 +126,11 @@ class WordIds:
         code, distinct = pd.factorize(h)
         seen = np.zeros(len(distinct), np.int64)
         seen[code[::-1]] = np.arange(len(code))[::-1]  # first word of each hash
-        keys = distinct.tolist()
-        new = [k for k, x in enumerate(keys) if x not in self.place]
-        self._learn([keys[k] for k in new], [raw[a:b].decode("utf-8", "replace") for a, b in
-                                             zip(start[seen[new]].tolist(), end[seen[new]].tolist())])
-        place = np.array([self.place[x] for x in keys], np.int64)[code] if len(code) else code
+        new = np.flatnonzero(self._places(distinct) < 0)
+        if len(new):
+            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in
+                                        zip(start[seen[new]].tolist(), end[seen[new]].tolist())])
+        place = self._places(distinct)[code]
         count = self.count[place]
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.first[place] - total[:-1], count) + np.arange(total[-1])]
@@ -162,6 +176,7 @@ def _pieces(path: str, size: int, end_id: int, with_ids: bool):
                 cols.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        tok.rest()
     return scan
 
 
