@@ -37,9 +37,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes that occur again; those left without a word by it go."""
+    """Documents without the passages of over 50 words, or of 400 bytes, that occur again; those left without a word by it go."""
     columns = docs.columns
-    out = suffix_dedup.remove_repeats(docs)
+    out = suffix_dedup.remove_repeats(docs, words=51)
     cut = stage(out.filter("n_removed > 0").select("uid", F.col("kept_text").alias("_kept")), "pipeline-cut")
     rows = with_uid(docs).join(cut, "uid", "left")
     gone = F.col("_kept").isNotNull() & ~F.coalesce(F.col("_kept").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

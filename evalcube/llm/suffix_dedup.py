@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import WindowHash, anchors, sliding_min, gram_keys  # noqa: F401
 from .common import flat, list_array, partition_id, release, running_max, running_sum, stage, with_uid
+from .passages import repeated_passages, united
 
 GRAM = 8
 #: Bytes scanned at once; longer texts go in overlapping slabs.
@@ -622,15 +623,18 @@ def _cut(batches):
             names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
+                   words: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_text), one row for each row of ``docs``.
 
     ``kept_text`` decodes the remaining bytes; a character cut in the middle is dropped from it
-    (``kept_sha256`` is over all remaining bytes).
+    (``kept_sha256`` is over all remaining bytes). With ``words``, passages of that many words go as well.
     """
     base = with_uid(docs.select(F.col(id_col).alias("id"),
                                 F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw")))
     spans = repeated_spans(base.select("uid", "raw"), length)
+    if words:
+        spans = united(spans, repeated_passages(base.select("uid", "raw"), words))
     none = F.array().cast("array<int>")
     joined = base.join(spans, "uid", "left").select(
         "uid", "id", "raw", F.coalesce("starts", none).alias("starts"), F.coalesce("lengths", none).alias("lengths"))
