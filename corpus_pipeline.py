@@ -31,8 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates (at least 90 % of their shingles in common)."""
-    first = stage(ngram_join.near_duplicate_groups(docs).filter("first").select("uid"), "pipeline-first")
+    """One document, that of the smallest id, of each group of near duplicates (at least 80 % of their five-word shingles in common)."""
+    first = stage(ngram_join.near_duplicate_groups(docs, width=5, percent=80).filter("first").select("uid"), "pipeline-first")
     return with_uid(docs).join(first, "uid", "left_semi").drop("uid")
 
 

@@ -53,3 +53,17 @@ def test_passages_of_over_50_words_go(spark):
             assert (got[i] or "") == want[i]
         else:
             assert i not in got
+
+
+def test_near_duplicates_from_80_percent_of_five_words_are_one(spark):
+    # a changed word in the middle of n distinct ones leaves n - 9 of n + 1 five-word shingles in common
+    rng = random.Random(4)
+    texts, expected = [], []
+    for n in (47, 48, 49, 50, 120):
+        a = _words(rng, n)
+        texts += [" ".join(a), " ".join([*a[:20], "changed", *a[21:]])]
+        expected += [True, 100 * (n - 9) < 80 * (n + 1)]
+    texts += [None, "", texts[0].upper(), texts[0] + " end", "one", "one"]
+    expected += [True, True, False, False, True, False]
+    got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, _docs(spark, texts, "test-near"), "").collect()}
+    assert got == {i for i, kept in enumerate(expected) if kept}
