@@ -7,7 +7,7 @@ character trigrams minimises
 with the sigmoid loss by mini-batches; where the bracket turns negative the step
 goes against it, which keeps the risk from overfitting. The class prior is the
 share of label 1 among the labelled learning rows. The score is the output after
-Platt scaling on labelled learning rows.
+Platt scaling on labelled learning rows, each class weighted to its full count.
 
 At most ``max_positive`` positives and ``max_unlabelled`` others, chosen by hash,
 are fitted on; only their feature vectors reach the driver.
@@ -125,26 +125,35 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return Scorer(mean, scale, theta[:-1], float(theta[-1]))
 
 
-def platt(scorer: Scorer, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> None:
-    """Fit a and b of sigmoid(a * raw + b) by Newton steps with smoothed targets."""
+def platt(scorer: Scorer, x: np.ndarray, y: np.ndarray, n_positive: float, n_negative: float, rounds: int = 50) -> None:
+    """Fit a and b of sigmoid(a * raw + b) by Newton steps with smoothed targets.
+
+    The rows of each class stand for ``n_positive`` and ``n_negative`` of them, however many were sampled.
+    """
     f = scorer.raw(x)
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
+    hi, lo = (n_positive + 1) / (n_positive + 2), 1 / (n_negative + 2)
     t = np.where(y == 1, hi, lo)
+    many = np.where(y == 1, n_positive / max(1, (y == 1).sum()), n_negative / max(1, (y == 0).sum()))
     z = np.stack([f, np.ones_like(f)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(rounds):
         s = _sigmoid(z @ w)
-        h = (z * (s * (1 - s) + 1e-9)[:, None]).T @ z + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (s - t))
+        h = (z * (many * (s * (1 - s) + 1e-9))[:, None]).T @ z + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (many * (s - t)))
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     scorer.a, scorer.b = float(w[0]), float(w[1])
 
 
+#: Values of the hash that chooses the sample.
+_HASHES = 1 << 40
+
+
 def _chosen(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """About ``most`` of ``n`` rows, by hash of the row number; never more than twice as many."""
-    return rows.filter(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(max(1, -(-n // most)))) == 0).limit(2 * most)
+    """About ``most`` of ``n`` rows (all of fewer), by hash of the row number; never more than twice as many."""
+    share = min(_HASHES, _HASHES * most // max(1, n))
+    return rows.filter(F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(_HASHES)) < share).limit(2 * most)
 
 
 def _measured(some: DataFrame):
@@ -183,7 +192,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col: s
             scorer = fit_nnpu(p, u, prior)
             bad = sample(marked.filter("y = 0"), counts[0], max_positive)[0] if counts.get(0) else p[:0]
             if len(bad):
-                platt(scorer, np.concatenate([p, bad]), np.concatenate([np.ones(len(p)), np.zeros(len(bad))]))
+                platt(scorer, np.concatenate([p, bad]), np.concatenate([np.ones(len(p)), np.zeros(len(bad))]), counts[1], counts[0])
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
     typ = dict(docs.dtypes)[id_col]
 

@@ -249,6 +249,31 @@ def test_quality_classifier_held_out(spark):
     assert [r.score for r in nothing] == [0.5] * 5
 
 
+def test_quality_calibration_does_not_depend_on_the_sample_bound(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read_documents(spark, sf).select("doc_id", "text"), read_documents(spark, sf, "labels")
+    twice = stage(docs.union(docs), "test-twice")
+    whole, cut, doubled = ({r.doc_id: r.score for r in pu_quality.score_quality(d, labels, F.lit(True), max_positive=most).collect()}
+                           for d, most in ((docs, 12_000), (docs, 600), (twice, 600)))
+    share = np.mean([r.quality for r in labels.collect()])
+    known = [r.doc_id for r in labels.collect()]
+    for got in (whole, cut, doubled):
+        assert abs(np.mean([got[i] for i in known]) - share) < 0.06
+        assert np.mean([(got[i] >= 0.7) == (whole[i] >= 0.7) for i in whole]) > 0.93
+    x = np.zeros((90, pu_quality.N_FEATURES))
+    x[:, 0] = np.random.default_rng(1).normal(size=90)
+    scorer = pu_quality.Scorer(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.eye(x.shape[1])[0], 0.0)
+    pu_quality.platt(scorer, np.concatenate([x[:60]] * 6 + [x[60:]]), np.repeat([1, 0], [360, 30]), 360, 30)
+    full = (scorer.a, scorer.b)
+    pu_quality.platt(scorer, x, np.repeat([1, 0], [60, 30]), 360, 30)
+    assert (scorer.a, scorer.b) == pytest.approx(full)
+
+
+def test_chosen_rows_grow_evenly(spark):
+    many = [pu_quality._chosen(spark.range(n).withColumnRenamed("id", "uid"), n, 1000).count() for n in (900, 1000, 1001, 1100, 1900, 2500)]
+    assert many[:2] == [900, 1000] and all(850 < k < 1150 for k in many[2:])
+
+
 def test_empty_tables(spark, empty):
     import public_tokenizers
     assert suffix_dedup.remove_repeats(empty).count() == 0
