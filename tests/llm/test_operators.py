@@ -238,6 +238,22 @@ def test_language_id_held_out(spark, sf_dir):
     assert {r.lang_pred for r in language_id.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_languages_whatever_the_shards(spark):
+    rng = random.Random(8)
+    names = ["aa", "bb", "rare", "tiny"]
+    vocab = {x: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+             for x, letters in zip(names, ("abcdefghij", "defghijklm", "αβγδεζηθικ", "fghijklmno"))}
+    prose = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    rows = [(prose(x, 2000), x, False) for x in ("aa", "bb") for _ in range(60)] + [(prose("rare", 240), "rare", False), (prose("tiny", 8), "tiny", False)]
+    rows += [(prose(x, 30), x, True) for x in names[:3] for _ in range(10)] + [("δδδ ζζη", "rare", True), (None, "aa", True)]
+    df = stage(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, lang string, held boolean"), "test-rare")
+    one, many = ({r.doc_id: (r.lang_pred, r.cross_entropy) for r in language_id.identify(df, ~F.col("held"), shard_rows=n).collect()}
+                 for n in (4_000_000, 3_000))
+    for i, r in enumerate(rows):
+        assert one[i][0] == many[i][0] == (r[1] if r[0] else "und")
+        assert one[i][1] is None or one[i][1] == pytest.approx(many[i][1])
+
+
 def test_quality_classifier_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = read_documents(spark, sf), read_documents(spark, sf, "labels")
