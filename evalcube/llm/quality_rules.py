@@ -7,12 +7,14 @@ all texts that pass the base rules. A text is rejected when either
 Jensen-Shannon distance (base 2, 0 to 1) is above its threshold; texts of fewer
 than ``min_words`` words are not judged by it.
 
-A language has a reference of its own if it holds at least ``min_share`` of all
-words, so there are at most 1 / min_share of them; others use the pooled one.
-
-Defined cases: null or empty text has no words and fails the base rules; a null
-language uses the pooled reference; repeated rows are judged alike; an empty
-table gives no rows; further columns are not read.
+A language has a reference if its texts that pass the base rules hold at least
+``min_ref_words`` words, however small a share of the table that is. Texts of
+other languages, and of none, are judged by the base rules alone: another
+language's histogram says nothing about them.
+
+Defined cases: null or empty text has no words and fails the base rules; the
+distances of a text without a reference are null; repeated rows are judged
+alike; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"#*$%&|<>"
 #: Character classes of the histogram as sets of a regular expression; the rest of a text is one more.
 CLASSES = [r"a-z", r"A-Z", r"0-9", r"\x20\x09-\x0D", r".,;:!?'\"()\-", SYMBOLS, r"\p{L}&&[^a-zA-Z]"]
-POOLED = "*"
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -102,49 +103,44 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(sum_, F.lit(0.0)))).when(tp == tq, 0.0).otherwise(1.0)
 
 
-def references(rows: DataFrame, narrow: DataFrame, n_common: int, letters: int, min_share: float) -> DataFrame:
-    """(lang, common, q_words, q_chars): at most 1 / min_share languages and the pooled one (lang '*').
+def references(rows: DataFrame, narrow: DataFrame, n_common: int, letters: int, min_ref_words: int) -> DataFrame:
+    """(lang, common, q_words, q_chars) of each language with enough words.
 
     ``rows`` are measures with words, ``narrow`` the same without. ``q_words``
     counts the common words and, last, all other words.
     """
     n_classes = len(CLASSES) + 1
-    per_lang = stage(narrow.filter(~F.col("base_failed")).groupBy("lang").agg(
-        F.sum("n_words").alias("n"), F.array(*(F.sum(F.get("chars", F.lit(k))).cast("double") for k in range(n_classes))).alias("q_chars")),
-        "rules-langs")
-    total = per_lang.agg(F.sum("n")).first()[0] or 0
-    own = per_lang.filter(F.col("lang").isNotNull() & (F.col("n") >= max(1.0, min_share * total)))
-    pooled = per_lang.groupBy(F.lit(POOLED).alias("lang")).agg(
-        F.sum("n").alias("n"), F.array(*(F.sum(F.get("q_chars", F.lit(k))) for k in range(n_classes))).alias("q_chars"))
+    per_lang = narrow.filter(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(
+        F.sum("n_words").alias("n"), F.array(*(F.sum(F.get("chars", F.lit(k))).cast("double") for k in range(n_classes))).alias("q_chars"))
+    own = stage(per_lang.filter(F.col("n") >= min_ref_words), "rules-langs")
     # explode_outer and the condition inside it: a filter would be moved down and work the measures out again
     words = rows.select("lang", F.explode_outer(F.when(~F.col("base_failed"), _short(F.col("words"), letters))).alias("w"))
     counts = stage(words.filter("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("c")), "rules-words")
-    every = counts.filter(F.col("lang").isNotNull()).join(F.broadcast(own.select("lang")), "lang").union(
-        counts.groupBy(F.lit(POOLED).alias("lang"), "w").agg(F.sum("c").alias("c")))
+    every = counts.join(own.select("lang"), "lang", "left_semi")
     top = every.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))).filter(F.col("r") <= n_common)
     known = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("t"), F.sum("c").alias("known"))
-    return (own.union(pooled).join(known, "lang", "left")
+    return (own.join(known, "lang", "left")
             .select("lang", F.coalesce(F.col("t.w"), F.array().cast("array<string>")).alias("common"), "q_chars",
                     F.concat(F.coalesce(F.col("t.c"), F.array().cast("array<bigint>")), F.array(F.col("n") - F.coalesce("known", F.lit(0))))
                     .cast("array<double>").alias("q_words")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 30,
-          n_common: int = 16, letters: int = 5, min_share: float = 0.01, max_chars: float = 0.27, max_words: float = 0.45) -> DataFrame:
+          n_common: int = 16, letters: int = 5, min_ref_words: int = 1_000, max_chars: float = 0.27, max_words: float = 0.45) -> DataFrame:
     """(uid, id, measures, base_failed, js_chars, js_words, kept), one row for each row of ``docs``."""
     rows = measures(docs, id_col, text_col, lang_col)
     narrow = stage(rows.drop("words"), "rules-measures")
-    refs = stage(references(rows, narrow, n_common, letters, min_share), "rules-references")
-    refs = refs.withColumnRenamed("lang", "ref")
-    of_lang = lambda x: (x.join(F.broadcast(refs.select(F.col("ref").alias("own"))), F.col("lang") == F.col("own"), "left")
-                         .withColumn("ref", F.coalesce("own", F.lit(POOLED))).drop("own")
-                         .join(F.broadcast(refs), "ref", "left"))
+    refs = stage(references(rows, narrow, n_common, letters, min_ref_words), "rules-references")
+    # joined by language, broadcast or not by the size of the written table
+    of_lang = lambda x: x.join(refs, "lang", "left")
     # common words of the text, then how often each occurs; the rest is one more bin
     some = F.filter(_short(F.col("words"), letters), lambda w: F.array_contains(F.col("common"), w))
     hist = _let(some, lambda s: F.concat(F.transform("common", lambda c: F.size(F.filter(s, lambda w: w == c)).cast("double")),
                                          F.array((F.size("words") - F.size(s)).cast("double"))))
-    words = of_lang(rows.select("uid", "lang", "words")).select("uid", _let(hist, lambda p: js_distance(p, F.col("q_words"))).alias("js_words"))
-    chars = of_lang(narrow).withColumn("js_chars", js_distance(F.col("chars").cast("array<double>"), F.col("q_chars")))
+    words = of_lang(rows.select("uid", "lang", "words")).select(
+        "uid", F.when(F.col("common").isNotNull(), _let(hist, lambda p: js_distance(p, F.col("q_words")))).alias("js_words"))
+    chars = of_lang(narrow).withColumn(
+        "js_chars", F.when(F.col("q_chars").isNotNull(), js_distance(F.col("chars").cast("array<double>"), F.col("q_chars"))))
     odd = (F.col("n_words") >= min_words) & ((F.col("js_chars") > max_chars) | (F.col("js_words") > max_words))
     return stage(chars.join(words, "uid").select(
         "uid", F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

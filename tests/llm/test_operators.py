@@ -108,6 +108,20 @@ def test_quality_rules(docs, rows):
         assert not (g.kept and g.base_failed)
 
 
+def test_quality_rules_keep_clean_texts_of_small_languages(spark):
+    rng = random.Random(6)
+    prose = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(n)) + "."
+    greek, russian = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыьэюя"
+    en = [prose("abcdefghijklmnoprstuvwy", 4000) for _ in range(100)]
+    texts = [(t, "en") for t in en] + [(prose(greek, 40), "el")] * 2 + [(prose(russian, 60), None)] + [(prose(russian, 300), "ru") for _ in range(4)]
+    texts += [("$ # % & | " * 8 + prose("0123456789", 60), "ru"), (prose("0123456789", 60), "en"), (prose(greek, 4), "el")]
+    df = stage(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id int, text string, lang string"), "test-langs")
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    assert [got[i].kept for i in range(100, 110)] == [True] * 7 + [False] * 3
+    assert got[100].js_chars is None and got[102].js_words is None and got[103].js_chars < 0.1 and got[107].js_chars > 0.27
+    assert all(got[i].kept for i in range(100))
+
+
 def test_packing(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
