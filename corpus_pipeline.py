@@ -66,7 +66,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Byte spans, pseudorandom permutations and token ids are beyond SQL; tests hold the stages against brute force.
+#: Byte spans, pseudorandom permutations and token ids are beyond SQL; tests hold the near-duplicate and passage stages against planted texts.
 ORACLE_SQL = None
 
 
