@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, hnsw, language_id, mixing, ngram_join, packing, pu_quality, quality_rules, suffix_dedup, warc
+from . import (chat_windows, conversation_repair, hnsw, language_id, mixing, ngram_join, packing, pu_quality, quality_rules, resampling, sharding,
+               suffix_dedup, warc)
 from .common import read_documents, stage
 
 
@@ -88,6 +89,29 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.importance_resample(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read_documents(spark, sf_dir, "conversations")
+    audits, fixed = conversation_repair.repair(conversation_repair.damage(chats))
+    # every conversation, also those that the damage left no row of; the parts meet in one aggregate, null ids included
+    every = (chats.select(F.col("conv_id").alias("conv")).unionByName(audits, allowMissingColumns=True)
+             .unionByName(conversation_repair.digests(stage(fixed, "cr-fixed")), allowMissingColumns=True))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    one = every.groupBy("conv").agg(*(F.max(c).alias(c) for c in [*counts, "audit", "repaired_sha256"]))
+    return one.select(F.col("conv").alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts),
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = sharding.shard_rows(read_documents(spark, sf_dir))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -95,11 +119,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_warc_index, op3_quality_rules, op4_pattern_packing, op5_language_id, op6_ngram_jaccard,
-    op7_source_mixing, op8_chat_windows, op9_hnsw_dedup, op10_pu_quality, pipeline)}
+    op7_source_mixing, op8_chat_windows, op9_hnsw_dedup, op10_pu_quality,
+    op11_importance_resampling, op12_conversation_repair, op13_slot_sharding, pipeline)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words of the resampling features.
+_FEATURES = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), " + r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _crc32(x: str) -> str:
+    """crc32 of the UTF-8 bytes of a string, bit by bit."""
+    step = f"xor(c, CASE WHEN i % 8 = 0 THEN ('0x' || substr(hex(encode({x})), 2 * (i // 8) + 1, 2))::BIGINT ELSE 0 END)"
+    return (f"xor(list_reduce(range(8 * octet_length(encode({x}))), lambda c, i: xor({step} >> 1, 3988292384 * ({step} & 1)),"
+            " 4294967295::BIGINT), 4294967295)")
+
+
 ORACLE = {
     "op2_warc_index": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -184,6 +220,64 @@ a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
       coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS v FROM x GROUP BY 1)
 SELECT conv_id, n_turns, sha256(u) AS turns_sha256, length(v) AS loss_chars, sha256(v) AS loss_sha256, formatted_chars
 FROM a JOIN h USING (conv_id)""",
+    "op11_importance_resampling": r"""
+WITH w AS (SELECT doc_id, """ + _FEATURES + r""" AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS x FROM w),
+t AS (SELECT unnest(""" + _FEATURES + r""") AS x FROM benchmark),
+v AS (SELECT x, """ + _crc32("x") + r""" % 10000 AS b FROM (SELECT x FROM f UNION SELECT x FROM t)),
+fs AS (SELECT b, count(*)::DOUBLE AS n FROM f JOIN v USING (x) GROUP BY 1),
+ft AS (SELECT b, count(*)::DOUBLE AS n FROM t JOIN v USING (x) GROUP BY 1),
+g AS (SELECT b, floor(1000 * ln((coalesce(ft.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM fs) + 10000)
+        / ((coalesce(fs.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM ft) + 10000))))::BIGINT AS gain
+      FROM (SELECT DISTINCT b FROM v) LEFT JOIN fs USING (b) LEFT JOIN ft USING (b)),
+d AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN v USING (x) JOIN g USING (b) GROUP BY 1),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+        + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE n_features >= 20
+      QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM s LEFT JOIN r USING (doc_id)""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS x FROM conversations),
+k AS (SELECT *, """ + _crc32("x") + r""" % 20 AS f FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE f <> 0),
+o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+        lag(role) OVER w AS before FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+g AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault, substr(role, 1, 1) AS ini FROM o),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE i > 1 AND substr(before, 1, 1) || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS len FROM g GROUP BY 1),
+-- states: n(othing yet), s, u, a; with the turns inserted before the next one
+m(st, ins, mid) AS (VALUES ('n', '', 'n'), ('n', 'u', 'u'), ('n', 'ua', 'a'), ('s', '', 's'), ('s', 'u', 'u'), ('s', 'ua', 'a'),
+        ('u', '', 'u'), ('u', 'a', 'a'), ('u', 'au', 'u'), ('a', '', 'a'), ('a', 'u', 'u'), ('a', 'ua', 'a')),
+e(mid, op, nxt) AS (VALUES ('n', 'D', 'n'), ('s', 'D', 's'), ('u', 'D', 'u'), ('a', 'D', 'a'), ('n', 'K', 's'), ('n', 'K', 'u'), ('s', 'K', 'u'),
+        ('u', 'K', 'a'), ('a', 'K', 'u'), ('n', 'R', 'u'), ('s', 'R', 'u'), ('u', 'R', 'a'), ('a', 'R', 'u')),
+p AS (SELECT st, mid, ins, op, nxt, 2 * length(ins) + CASE op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END AS cost, repeat('I', length(ins)) || op AS ed,
+        replace(replace(ins, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10)) AS put FROM m JOIN e USING (mid)),
+v AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 'n' AS st, 0::BIGINT AS cost, '' AS audit, '' AS rep FROM n
+  UNION ALL
+  SELECT conv_id, i, st, cost, audit, rep FROM (
+    SELECT v.conv_id, g.i, p.nxt AS st, v.cost + p.cost + CASE WHEN g.fault = 'truncated' AND p.op <> 'D' THEN 1 ELSE 0 END AS cost,
+      v.audit || p.ed AS audit, v.rep || p.put || CASE p.op WHEN 'D' THEN '' WHEN 'K' THEN g.role || ':' || g.text || chr(10)
+        ELSE CASE p.nxt WHEN 'u' THEN 'user:' ELSE 'assistant:' END || g.text || chr(10) END AS rep,
+      row_number() OVER (PARTITION BY v.conv_id, p.nxt ORDER BY v.cost + p.cost + CASE WHEN g.fault = 'truncated' AND p.op <> 'D' THEN 1 ELSE 0 END,
+        v.audit || p.ed) AS r
+    FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.i = v.i + 1 JOIN p ON p.st = v.st
+    WHERE (p.op = 'D' OR g.fault NOT IN ('blank', 'duplicate')) AND (p.op <> 'K' OR p.nxt = g.ini)) WHERE r = 1),
+z AS (SELECT v.conv_id, n.gaps, n.blank, n.duplicate, n.truncated, n.illegal, v.cost + CASE st WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost,
+        audit || CASE st WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+        rep || CASE st WHEN 's' THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 'u' THEN 'assistant:' || chr(10) ELSE '' END AS rep
+      FROM v JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id AND n.len = v.i),
+y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  sha256(CASE WHEN coalesce(rep, '') = '' THEN '' ELSE substr(rep, 1, length(rep) - 1) END) AS repaired_sha256
+FROM a LEFT JOIN y ON a.conv_id IS NOT DISTINCT FROM y.conv_id""",
     "op9_hnsw_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
