@@ -66,20 +66,24 @@ def _repeat_words(words: Column, gram: int) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), grams)
 
 
-def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, gram: int = 5) -> DataFrame:
-    """(uid, id, lang, words, chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+def measures(docs: DataFrame, id_col: str, text_col: str, lang_col: str, letters: int, gram: int = 5) -> DataFrame:
+    """(uid, id, lang, short, chars, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed).
+
+    ``short`` holds the text's short words, lower-cased: all that the references
+    and the word distance read, so a text is split once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = with_uid(docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text")))
     rows = rows.withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select(
-        "uid", "id", "lang", "words", F.array(*(_count(F.col("text"), c) for c in CLASSES)).alias("some"), F.length("text").alias("all"),
+        "uid", "id", "lang", _short(F.col("words"), letters).alias("short"), F.array(*(_count(F.col("text"), c) for c in CLASSES)).alias("some"), F.length("text").alias("all"),
         F.size("words").cast("bigint").alias("n_words"), F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         _repeat_words(F.col("words"), gram).alias("n_repeat_words"))
     rest = F.col("all") - F.aggregate("some", F.lit(0), lambda a, x: a + x)
     return rows.select(
-        "uid", "id", "lang", "words", F.concat("some", F.array(rest)).alias("chars"), "n_words", "word_chars",
+        "uid", "id", "lang", "short", F.concat("some", F.array(rest)).alias("chars"), "n_words", "word_chars",
         F.get("some", F.lit(CLASSES.index(SYMBOLS))).cast("bigint").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"))
 
@@ -103,19 +107,17 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((tp > 0) & (tq > 0), F.sqrt(F.greatest(sum_, F.lit(0.0)))).when(tp == tq, 0.0).otherwise(1.0)
 
 
-def references(rows: DataFrame, narrow: DataFrame, n_common: int, letters: int, min_ref_words: int) -> DataFrame:
-    """(lang, common, q_words, q_chars) of each language with enough words.
+def references(rows: DataFrame, n_common: int, min_ref_words: int) -> DataFrame:
+    """(lang, common, q_words, q_chars) of each language with enough words, from staged measures.
 
-    ``rows`` are measures with words, ``narrow`` the same without. ``q_words``
-    counts the common words and, last, all other words.
+    ``q_words`` counts the common words and, last, all other words.
     """
     n_classes = len(CLASSES) + 1
-    per_lang = narrow.filter(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(
+    per_lang = rows.filter(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(
         F.sum("n_words").alias("n"), F.array(*(F.sum(F.get("chars", F.lit(k))).cast("double") for k in range(n_classes))).alias("q_chars"))
     own = stage(per_lang.filter(F.col("n") >= min_ref_words), "rules-langs")
-    # explode_outer and the condition inside it: a filter would be moved down and work the measures out again
-    words = rows.select("lang", F.explode_outer(F.when(~F.col("base_failed"), _short(F.col("words"), letters))).alias("w"))
-    counts = stage(words.filter("w IS NOT NULL").groupBy("lang", "w").agg(F.count("*").alias("c")), "rules-words")
+    words = rows.filter(~F.col("base_failed")).select("lang", F.explode("short").alias("w"))
+    counts = stage(words.groupBy("lang", "w").agg(F.count("*").alias("c")), "rules-words")
     every = counts.join(own.select("lang"), "lang", "left_semi")
     top = every.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "w"))).filter(F.col("r") <= n_common)
     known = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("t"), F.sum("c").alias("known"))
@@ -128,20 +130,17 @@ def references(rows: DataFrame, narrow: DataFrame, n_common: int, letters: int,
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 30,
           n_common: int = 16, letters: int = 5, min_ref_words: int = 1_000, max_chars: float = 0.27, max_words: float = 0.45) -> DataFrame:
     """(uid, id, measures, base_failed, js_chars, js_words, kept), one row for each row of ``docs``."""
-    rows = measures(docs, id_col, text_col, lang_col)
-    narrow = stage(rows.drop("words"), "rules-measures")
-    refs = stage(references(rows, narrow, n_common, letters, min_ref_words), "rules-references")
-    # joined by language, broadcast or not by the size of the written table
-    of_lang = lambda x: x.join(refs, "lang", "left")
+    rows = stage(measures(docs, id_col, text_col, lang_col, letters), "rules-measures")
+    refs = stage(references(rows, n_common, min_ref_words), "rules-references")
     # common words of the text, then how often each occurs; the rest is one more bin
-    some = F.filter(_short(F.col("words"), letters), lambda w: F.array_contains(F.col("common"), w))
+    some = F.filter("short", lambda w: F.array_contains(F.col("common"), w))
     hist = _let(some, lambda s: F.concat(F.transform("common", lambda c: F.size(F.filter(s, lambda w: w == c)).cast("double")),
-                                         F.array((F.size("words") - F.size(s)).cast("double"))))
-    words = of_lang(rows.select("uid", "lang", "words")).select(
-        "uid", F.when(F.col("common").isNotNull(), _let(hist, lambda p: js_distance(p, F.col("q_words")))).alias("js_words"))
-    chars = of_lang(narrow).withColumn(
-        "js_chars", F.when(F.col("q_chars").isNotNull(), js_distance(F.col("chars").cast("array<double>"), F.col("q_chars"))))
+                                         F.array((F.col("n_words") - F.size(s)).cast("double"))))
+    # joined by language, broadcast or not by the size of the written table
+    judged = rows.join(refs, "lang", "left").withColumns({
+        "js_words": F.when(F.col("common").isNotNull(), _let(hist, lambda p: js_distance(p, F.col("q_words")))),
+        "js_chars": F.when(F.col("q_chars").isNotNull(), js_distance(F.col("chars").cast("array<double>"), F.col("q_chars")))})
     odd = (F.col("n_words") >= min_words) & ((F.col("js_chars") > max_chars) | (F.col("js_words") > max_words))
-    return stage(chars.join(words, "uid").select(
+    return stage(judged.select(
         "uid", F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "js_chars", "js_words", (~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).alias("kept")), "rules-verdicts")

@@ -164,11 +164,9 @@ c0 AS (SELECT *, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS c1, length(reg
       length(regexp_replace(t, '[^.,;:!?''"()\-]+', '', 'g')) AS c5, n_symbols AS c6,
       length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS cl FROM a),
 c AS (SELECT *, cl - c1 - c2 AS c7, length(t) - c1 - c2 - c3 - c4 - c5 - c6 - (cl - c1 - c2) AS c8 FROM c0),
-own AS (SELECT lang FROM c WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang
-        HAVING sum(n_words) >= greatest(1, 0.01 * (SELECT sum(n_words) FROM c WHERE NOT base_failed))),
-e AS (SELECT c.*, coalesce(own.lang, '*') AS ref FROM c LEFT JOIN own ON c.lang = own.lang),
-sound AS (SELECT own.lang AS ref, c.* FROM c JOIN own USING (lang) WHERE NOT base_failed
-          UNION ALL SELECT '*' AS ref, c.* FROM c WHERE NOT base_failed),
+own AS (SELECT lang FROM c WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING sum(n_words) >= 1000),
+e AS (SELECT c.*, c.lang AS ref FROM c JOIN own ON c.lang = own.lang),
+sound AS (SELECT * FROM e WHERE NOT base_failed),
 qc AS (SELECT ref, [sum(c1), sum(c2), sum(c3), sum(c4), sum(c5), sum(c6), sum(c7), sum(c8)] AS q, sum(n_words) AS n FROM sound GROUP BY 1),
 short AS (SELECT doc_id, ref, lower(x) AS x FROM (SELECT doc_id, ref, unnest(w) AS x FROM sound)
           WHERE length(x) <= 5 AND regexp_matches(x, '^\p{L}+$')),
