@@ -23,6 +23,10 @@ LEVEL_NAMES = ["Easy", "Intermediate", "Complex"]
 CELL = ["T", "D", "L"]
 CUBE_DIGITS = 12
 
+# Units of the cube's sums: whole numbers add up to the same total in any order.
+QUALITY_UNITS = 10 ** 9
+COST_UNITS = 10 ** 12
+
 
 def code_num(code: Column) -> Column:
     """Numeric part of a label code, for natural ordering (T2 before T10)."""
@@ -40,21 +44,32 @@ def tld_cube(scored: DataFrame) -> DataFrame:
     Each record spreads weight 1/(|T||D||L|) over every combination of its
     labels (a duplicated label counts twice); labels outside the code lists
     vanish. Three generators and one partially aggregated hash aggregate: the
-    partial step leaves at most (models x 360) rows per map task, so a hot
-    model or cell never reaches the shuffle as raw rows.
+    partial step leaves at most (models x 360 x number of weights) rows per map
+    task, so a hot model or cell never reaches the shuffle as raw rows.
+
+    Sums are exact: quality in 1e-9 and cost in 1e-12 dollars are added as whole
+    numbers, apart for each |T||D||L|, and only the few totals of a cell are
+    divided, in ascending order. A rerun with other partitions gives the same
+    cube to the last bit, so a cell is never routed differently.
     """
     n = F.size("label_task") * F.size("label_domain") * F.size("label_level")
-    w = (F.lit(1.0) / F.nullif(n, F.lit(0))).alias("w")
-    base = scored.select(ALIAS_COL, "label_task", "label_domain", "label_level", "quality", "cost", w)
+    units = lambda c, scale: F.round(F.col(c) * scale).cast("decimal(18,0)").alias(c)
+    base = scored.select(ALIAS_COL, "label_task", "label_domain", "label_level", n.alias("n"),
+                         units("quality", QUALITY_UNITS), units("cost", COST_UNITS))
     ex = (base.withColumn("T", F.explode("label_task"))
               .withColumn("D", F.explode("label_domain"))
               .withColumn("L", F.explode("label_level"))
               .filter(F.col("T").isin(TASKS) & F.col("D").isin(DOMAINS) & F.col("L").isin(LEVELS)))
-    agg = ex.groupBy(ALIAS_COL, *CELL).agg(
-        F.sum("w").alias("count"),
-        F.sum(F.col("w") * F.col("quality")).alias("quality"),
-        F.sum(F.col("w") * F.col("cost")).alias("cost"))
-    return agg.select(ALIAS_COL, *CELL, *[F.round(c, CUBE_DIGITS).alias(c) for c in ("count", "quality", "cost")])
+    parts = ex.groupBy(ALIAS_COL, *CELL, "n").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("quality").alias("quality"), F.sum("cost").alias("cost"))
+    # one entry for each |T||D||L| that the cell's records have
+    cells = parts.groupBy(ALIAS_COL, *CELL).agg(F.sort_array(F.collect_list(F.struct(
+        "n", *(F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("count", "quality", "cost"))))).alias("s"))
+
+    def total(c: str, scale: int) -> Column:
+        weighed = F.aggregate("s", F.lit(0.0), lambda a, x: a + x[c] / x["n"])
+        return F.round(weighed / F.lit(float(scale)), CUBE_DIGITS).alias(c)
+    return cells.select(ALIAS_COL, *CELL, total("count", 1), total("quality", QUALITY_UNITS), total("cost", COST_UNITS))
 
 
 def template_cells(models: DataFrame) -> DataFrame:

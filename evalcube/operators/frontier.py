@@ -13,14 +13,16 @@ of falling quality gained per dollar. That is one per-cell hull (a few points
 per cell, cells in parallel) and one distributed running sum, however many
 cells and models there are.
 
-``exact_frontier_local`` folds cell fronts one by one (the full staircase);
-the result can grow quadratically with the cell count, so it is a helper for
-bounded inputs and the brute-force reference of the tests.
+``exact_frontier`` gives every efficient portfolio (the full staircase, hull or
+not) of each group of cells: a distributed fold over the cells.
+``exact_frontier_local`` does the same in one process for tests.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,45 +122,174 @@ def exact_frontier_local(cells: list[list[tuple[int, int]]]) -> list[tuple[int,
     return front
 
 
-def thin_frontier(points: DataFrame, cost_gap: float = 0.01, quality_gap: float = 0.5,
-                  buckets: int = 16) -> DataFrame:
-    """Points of a frontier the chart keeps: the first point, then every point at
+def _staircase(c: np.ndarray, q: np.ndarray, path: np.ndarray):
+    """Efficient points only: cost rising, quality above all cheaper ones; of equal points the least path."""
+    order = np.lexsort((path, -q, c))
+    c, q, path = c[order], q[order], path[order]
+    best = np.maximum.accumulate(q)
+    keep = np.concatenate([[True], q[1:] > best[:-1]]) if len(q) else np.zeros(0, bool)
+    return c[keep], q[keep], path[keep]
+
+
+_STATE = "g int, c bigint, q bigint, path binary"
+
+
+def _batch(g, c, q, path, width: int, **more) -> pa.RecordBatch:
+    path = np.ascontiguousarray(path)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(c), [None, pa.py_buffer(path.tobytes())]) if width else \
+        pa.array([b""] * len(c), pa.binary())
+    cols = {"g": pa.array(g, pa.int32()), "c": pa.array(c, pa.int64()), "q": pa.array(q, pa.int64()), "path": fixed.cast(pa.binary())}
+    return pa.RecordBatch.from_pydict(cols | more)
+
+
+def _paths(col: pa.Array, width: int) -> np.ndarray:
+    """Paths of one width as fixed-length byte strings (compared byte by byte)."""
+    if not width:
+        return np.zeros(len(col), "S1")
+    return np.frombuffer(b"".join(col.to_pylist()), f"S{width}") if len(col) else np.zeros(0, f"S{width}")
+
+
+def _expand(options: list, start: int, stop: int, carry: dict):
+    """Points -> their portfolios with each option of the groups' cells ``start`` to ``stop``, pruned batch by batch.
+
+    ``carry`` holds the best quality of earlier, cheaper partitions: points not above it go.
+    """
+    def scan(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, c, q = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            pid = b.column(4).to_numpy(zero_copy_only=False)
+            path = _paths(b.column(3), 2 * start)
+            for gi in np.unique(g).tolist():
+                floor = {p: carry.get((p, gi), -1) for p in np.unique(pid).tolist()}
+                at = np.flatnonzero((g == gi) & (q > np.array([floor[p] for p in pid.tolist()])))
+                gc, gq, gp = c[at], q[at], path[at]
+                for cell in range(start, stop):
+                    # a group of fewer cells keeps its points; 0 marks that no model was chosen
+                    oc, oq, oid = options[gi][cell] if cell < len(options[gi]) else (np.zeros(1, np.int64), np.zeros(1, np.int64), [b"\0\0"])
+                    n, k = len(gc), len(oc)
+                    wide = np.zeros((n, k, 2 * cell + 2), np.uint8)
+                    if cell:
+                        wide[:, :, :-2] = np.ascontiguousarray(gp).view(np.uint8).reshape(n, 1, 2 * cell)
+                    wide[:, :, -2:] = np.frombuffer(b"".join(oid), np.uint8).reshape(1, k, 2)
+                    gc, gq, gp = _staircase((gc[:, None] + oc).ravel(), (gq[:, None] + oq).ravel(),
+                                            wide.reshape(n * k, -1).view(f"S{2 * cell + 2}").ravel())
+                if len(gc):
+                    yield _batch(np.full(len(gc), gi), gc, gq, gp, 2 * stop)
+    return scan
+
+
+def _prune_sorted(width: int):
+    """Points sorted by (g, c, q falling, path) -> the efficient ones of the partition, with its number and their place in its group."""
+
+    def scan(batches):
+        from pyspark import TaskContext
+        pid, top, place = TaskContext.get().partitionId(), {}, {}
+        for b in batches:
+            g, c, q = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            path = _paths(b.column(3), width)
+            for gi in np.unique(g).tolist():
+                at = np.flatnonzero(g == gi)
+                before = np.maximum.accumulate(np.concatenate([[top.get(gi, -1)], q[at]]))
+                at = at[q[at] > before[:-1]]
+                top[gi] = int(before[-1])
+                i = place.get(gi, 0) + np.arange(len(at))
+                place[gi] = place.get(gi, 0) + len(at)
+                yield _batch(g[at], c[at], q[at], path[at], width, pid=pa.array(np.full(len(at), pid), pa.int32()), i=pa.array(i, pa.int64()))
+    return scan
+
+
+def exact_frontier(fronts: DataFrame, by: list[str], cells_per_round: int = 5) -> DataFrame:
+    """Every efficient portfolio of each group's cells: (by.., step, cost, quality, llm_ids in cell order).
+
+    ``by`` are cell columns (``["T"]``: a frontier for each task; ``[]``: one of all
+    cells). The cells are folded in order: each point yields its portfolio with
+    every option of the next cell (a generator in the map step, no pairing of two
+    fronts), points are pruned within the batch, ranged by (group, cost), pruned
+    by the running best quality of their partition and, in the next round, by
+    that of the cheaper partitions, one number for each partition and group. Each
+    round is a written table, the one before is deleted. Sums are whole numbers.
+
+    No point is left out and no number of points assumed; memory is that of one
+    batch. Options are models x 360 rows at most, whatever the number of records.
+    """
+    from ..session import drop_table, write_table
+    spark = fronts.sparkSession
+    rows = (to_fixed(fronts).withColumn("cell", cell_index(F.col("T"), F.col("D"), F.col("L")))
+            .select(*by, "cell", "cost_fx", "quality_fx", "llm_id").collect())
+    keys = sorted({tuple(r[c] for c in by) for r in rows})
+    cells: list[dict] = [{} for _ in keys]
+    for r in rows:
+        cells[keys.index(tuple(r[c] for c in by))].setdefault(r["cell"], []).append((r["cost_fx"], r["quality_fx"], r["llm_id"]))
+    options = [[(np.array([o[0] for o in opts]), np.array([o[1] for o in opts]), [(o[2] + 1).to_bytes(2, "big") for o in opts])
+                for _, opts in sorted(group.items())] for group in cells]
+    n_cells = max(map(len, options), default=0)
+    ddl = _STATE + ", pid int, i bigint"
+    state = spark.createDataFrame([(k, 0, 0, b"", 0, 0) for k in range(len(keys))], ddl)
+    carry: dict = {}
+    order = ["g", "c", F.col("q").desc(), "path"]
+    for start in range(0, n_cells, cells_per_round):
+        stop = min(start + cells_per_round, n_cells)
+        grown = state.mapInArrow(_expand(options, start, stop, carry), _STATE)
+        after = write_table(grown.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_prune_sorted(2 * stop), ddl), "frontier-round")
+        if start:
+            drop_table(state)
+        state = after
+        best, carry = {}, {}
+        for r in sorted(state.groupBy("pid", "g").agg(F.max("q").alias("q")).collect(), key=lambda r: (r["pid"], r["g"])):
+            carry[(r["pid"], r["g"])] = best.get(r["g"], -1)
+            best[r["g"]] = max(best.get(r["g"], -1), r["q"])
+    floors = spark.createDataFrame([(p, g, f) for (p, g), f in carry.items()] or [(0, -1, -1)], "pid int, g int, floor bigint")
+    left = state.join(F.broadcast(floors), ["pid", "g"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1)))
+    # quality rises along a partition's group, so what the floor removes is its beginning
+    sizes = sorted(left.groupBy("pid", "g").agg(F.sum((F.col("q") <= F.col("floor")).cast("long")).alias("gone"), F.count("*").alias("n")).collect(),
+                   key=lambda r: (r["pid"], r["g"]))
+    ahead, shift = {}, []
+    for r in sizes:
+        shift.append((r["pid"], r["g"], ahead.get(r["g"], 0) - r["gone"]))
+        ahead[r["g"]] = ahead.get(r["g"], 0) + r["n"] - r["gone"]
+    shifts = spark.createDataFrame(shift or [(0, -1, 0)], "pid int, g int, shift bigint")
+    fields = [fronts.schema[c] for c in by]
+    names = spark.createDataFrame([(k, *key) for k, key in enumerate(keys)] or [(-1, *([None] * len(by)))],
+                                  ", ".join(["g int", *(f"{f.name} {f.dataType.simpleString()}" for f in fields)]))
+    ids = F.expr("filter(transform(sequence(0, length(path) div 2 - 1), i -> cast(conv(hex(substring(path, 2 * i + 1, 2)), 16, 10) as int) - 1), x -> x >= 0)")
+    return (left.filter("q > floor").join(F.broadcast(shifts), ["pid", "g"]).join(F.broadcast(names), "g")
+            .select(*by, (F.col("i") + F.col("shift")).alias("step"), F.round(F.col("c") / COST_SCALE, 9).alias("cost"),
+                    F.round(F.col("q") / QUALITY_SCALE, 9).alias("quality"), ids.alias("llm_ids")))
+
+
+def thin_frontier(points: DataFrame, by: list[str] | None = None, cost_gap: float = 0.01, quality_gap: float = 0.5) -> DataFrame:
+    """Points of a frontier the chart keeps: a group's first point, then every point at
     least ``cost_gap`` dearer or ``quality_gap`` better than the last kept one.
 
-    ``points`` has ``step`` = 0..n-1 with cost and quality rising along it. The
-    next kept point after i is the first j with c_j >= c_i + gap or q_j >= q_i +
-    gap; both are counts of points below a threshold, taken by one distributed
-    running count over points and thresholds. The kept chain from step 0 then
-    comes from pointer doubling: round k adds next^(2^k) of the chain found so
-    far and squares the jump table (equi-joins, lineage cut every round).
+    Which point is kept depends on the one kept before, so each frontier passes a
+    task once as a sorted stream; only the last kept point is held. A frontier's
+    length follows from cells and models, not from the number of records.
     """
-    from ..session import checkpoint_df
-    spark = points.sparkSession
-    points = checkpoint_df(points)
-    pts = points.select("step", F.round(F.col("cost") * COST_SCALE).cast("long").alias("c"),
-                        F.round(F.col("quality") * QUALITY_SCALE).cast("long").alias("q"))
-    n = pts.count()
+    by = by or []
     gc, gq = round(cost_gap * COST_SCALE), round(quality_gap * QUALITY_SCALE)
+    names = points.columns
+
+    def scan(batches):
+        last = None
+        for b in batches:
+            group = list(zip(*(b.column(names.index(c)).to_pylist() for c in by))) if by else [()] * b.num_rows
+            c = np.rint(b.column(names.index("cost")).to_numpy() * COST_SCALE).astype(np.int64)
+            q = np.rint(b.column(names.index("quality")).to_numpy() * QUALITY_SCALE).astype(np.int64)
+            starts = [0] + [k for k in range(1, len(group)) if group[k] != group[k - 1]]
+            keep = []
+            for a, z in zip(starts, starts[1:] + [len(group)]):
+                k = a
+                if a < z and (last is None or last[0] != group[a]):
+                    keep.append(a)
+                    last = (group[a], c[a], q[a])
+                while k < z:  # the next kept point is the first beyond either gap
+                    k = a + min(np.searchsorted(c[a:z], last[1] + gc), np.searchsorted(q[a:z], last[2] + gq))
+                    if k < z:
+                        keep.append(k)
+                        last = (group[k], c[k], q[k])
+            yield b.take(pa.array(keep, pa.int64()))
 
-    def first_at_least(col: str, gap: int) -> DataFrame:
-        probes = pts.select(F.col("step").alias("src"), (F.col(col) + gap).alias("v"),
-                            F.lit(0).alias("kind"), F.lit(0).alias("w"))
-        marks = pts.select(F.lit(None).cast("long").alias("src"), F.col(col).alias("v"),
-                           F.lit(1).alias("kind"), F.lit(1).alias("w"))
-        counted = running_totals(probes.unionByName(marks), "v", ["kind", "src"], ["w"],
-                                 descending=False, buckets=buckets)
-        return counted.filter("kind = 0").select(F.col("src").alias("node"), F.col("cum_w").alias(f"n_{col}"))
-
-    nxt = first_at_least("c", gc).join(first_at_least("q", gq), "node").select(
-        "node", F.least("n_c", "n_q").alias("nxt"))
-    jump = checkpoint_df(nxt.withColumn("nxt", F.when(F.col("nxt") < n, F.col("nxt"))))
-    chain = checkpoint_df(spark.range(1).select(F.lit(0).cast("long").alias("node")))
-    k = 1
-    while k < max(n, 2):
-        step_ahead = chain.join(broadcast_if_small(jump), "node").select(F.col("nxt").alias("node")).filter(F.col("node").isNotNull())
-        chain = checkpoint_df(chain.unionByName(step_ahead).distinct())
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = checkpoint_df(a.join(broadcast_if_small(b), F.col("a.nxt") == F.col("b.node"), "left")
-                             .select(F.col("a.node").alias("node"), F.col("b.nxt").alias("nxt")))
-        k *= 2
-    return points.join(chain.withColumnRenamed("node", "step"), "step", "left_semi")
+    dealt = points.repartition(*by) if by else points.repartition(1)
+    return dealt.sortWithinPartitions(*by, "step").mapInArrow(scan, points.schema)

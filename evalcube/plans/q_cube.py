@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.joins import broadcast_if_small
 
 from ..operators import cube as K
+from ..operators import frontier as FR
 from ..operators import pareto as PA
 from ..operators.clean import ALIAS_COL
+from ..session import materialize
 from .dashboard import cube_stage, scored_slim
 from .oracle_base import SCORED_CTES
 from .registry import query
@@ -18,17 +20,26 @@ _T = ", ".join(f"'{c}'" for c in K.TASKS)
 _D = ", ".join(f"'{c}'" for c in K.DOMAINS)
 _L = ", ".join(f"'{c}'" for c in K.LEVELS)
 
+
+def _by_weight(c: str) -> str:
+    """Totals of the fixture's |T||D||L| (1, 2, 4), divided and added in ascending order."""
+    return " + ".join(f"coalesce(CAST(sum({c}) FILTER (WHERE n = {n}) AS DOUBLE), 0) / {n}" for n in (1, 2, 4))
+
+
 # DuckDB: cube -> ids -> dense -> candidates -> fronts, all from the formulas.
 CUBE_CTES = SCORED_CTES + f""",
-x1 AS (SELECT answerer_llm_alias, quality, cost, label_domain, label_level,
-              CAST(1 AS DOUBLE) / (len(label_task) * len(label_domain) * len(label_level)) AS w,
-              unnest(label_task) AS T FROM scored),
-x2 AS (SELECT answerer_llm_alias, quality, cost, label_level, w, T, unnest(label_domain) AS D FROM x1),
-x3 AS (SELECT answerer_llm_alias, quality, cost, w, T, D, unnest(label_level) AS L FROM x2),
+x1 AS (SELECT answerer_llm_alias, CAST(round(quality * {K.QUALITY_UNITS}) AS BIGINT) AS q, CAST(round(cost * {K.COST_UNITS}) AS BIGINT) AS c,
+              label_domain, label_level, len(label_task) * len(label_domain) * len(label_level) AS n, unnest(label_task) AS T FROM scored),
+x2 AS (SELECT answerer_llm_alias, q, c, label_level, n, T, unnest(label_domain) AS D FROM x1),
+x3 AS (SELECT answerer_llm_alias, q, c, n, T, D, unnest(label_level) AS L FROM x2),
+x4 AS (
+  SELECT answerer_llm_alias, T, D, L, n, count(*) AS k, sum(q) AS q, sum(c) AS c
+  FROM x3 WHERE T IN ({_T}) AND D IN ({_D}) AND L IN ({_L}) GROUP BY 1, 2, 3, 4, 5
+),
 cube AS (
-  SELECT answerer_llm_alias, T, D, L, round(sum(w), 12) AS count,
-         round(sum(w * quality), 12) AS quality, round(sum(w * cost), 12) AS cost
-  FROM x3 WHERE T IN ({_T}) AND D IN ({_D}) AND L IN ({_L}) GROUP BY 1, 2, 3, 4
+  SELECT answerer_llm_alias, T, D, L, round({_by_weight("k")}, 12) AS count,
+         round(({_by_weight("q")}) / {float(K.QUALITY_UNITS)!r}, 12) AS quality, round(({_by_weight("c")}) / {float(K.COST_UNITS)!r}, 12) AS cost
+  FROM x4 GROUP BY 1, 2, 3, 4
 ),
 ids AS (
   SELECT answerer_llm_alias,
@@ -71,7 +82,7 @@ basep AS (
 
 
 def cube_sql(body: str) -> str:
-    return "WITH " + CUBE_CTES + "\n" + body
+    return "WITH RECURSIVE " + CUBE_CTES + "\n" + body
 
 
 def _stage(spark, sf_dir):
@@ -136,6 +147,59 @@ def best_portfolio(spark, sf_dir):
         *_CELL_COLS, "llm_id", A, "quality", "cost")
 
 
+# Exact frontier of the portfolios of each task's cells, folded cell by cell, and its chart points.
+TASK_CTES = f""",
+opt AS (
+  SELECT T, CAST(round(cost * {FR.COST_SCALE}) AS BIGINT) AS c, CAST(round(quality * {FR.QUALITY_SCALE}) AS BIGINT) AS q, llm_id,
+         dense_rank() OVER (PARTITION BY T ORDER BY CAST(substr(D, 2) AS INTEGER), CAST(substr(L, 2) AS INTEGER)) AS k
+  FROM fronts
+),
+fold AS (
+  SELECT DISTINCT T, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS q, CAST([] AS INTEGER[]) AS p FROM opt
+  UNION ALL
+  SELECT T, k, c, q, p FROM (
+    SELECT *, max(q) OVER (PARTITION BY T ORDER BY c, q DESC, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best
+    FROM (SELECT f.T, o.k, f.c + o.c AS c, f.q + o.q AS q, list_append(f.p, o.llm_id) AS p
+          FROM fold f JOIN opt o ON o.T = f.T AND o.k = f.k + 1))
+  WHERE best IS NULL OR q > best
+),
+task_front AS (
+  SELECT T, row_number() OVER (PARTITION BY T ORDER BY c) - 1 AS step, c, q, p
+  FROM fold WHERE k = (SELECT max(k) FROM opt o WHERE o.T = fold.T)
+)"""
+
+TASK_THIN_CTES = TASK_CTES + """,
+task_next AS (
+  SELECT a.T, a.step, min(b.step) AS nxt FROM task_front a JOIN task_front b
+    ON b.T = a.T AND b.step > a.step AND (b.c - a.c >= 10000000 OR b.q - a.q >= 500000) GROUP BY 1, 2
+),
+task_chain AS (
+  SELECT DISTINCT T, CAST(0 AS BIGINT) AS step FROM task_front
+  UNION ALL SELECT n.T, n.nxt FROM task_chain w JOIN task_next n ON n.T = w.T AND n.step = w.step
+),
+task_thin AS (
+  SELECT f.T, f.step, """ + f"""round(f.c / {FR.COST_SCALE}, 9) AS cost, round(f.q / {FR.QUALITY_SCALE}, 9) AS quality
+  FROM task_front f JOIN task_chain USING (T, step)
+)"""
+
+
+def _task_frontier(spark, sf_dir):
+    """The frontier of each task's portfolios, written once per application."""
+    fronts = _stage(spark, sf_dir)["fronts"]
+    return materialize(spark, lambda: FR.exact_frontier(fronts, ["T"]), ("task-frontier", sf_dir), "task-frontier")
+
+
+@query("frontier_by_task", cube_sql(TASK_CTES + f"""
+SELECT T, step, round(c / {FR.COST_SCALE}, 9) AS cost, round(q / {FR.QUALITY_SCALE}, 9) AS quality, p AS llm_ids FROM task_front"""))
+def frontier_by_task(spark, sf_dir):
+    return _task_frontier(spark, sf_dir)
+
+
+@query("task_frontier_thinned", cube_sql(TASK_THIN_CTES + "\nSELECT T, step, cost, quality FROM task_thin"))
+def task_frontier_thinned(spark, sf_dir):
+    return FR.thin_frontier(_task_frontier(spark, sf_dir), ["T"]).select("T", "step", "cost", "quality")
+
+
 def _best_point(st):
     """End point of the portfolio frontier: base + sum of multi-cell end points."""
     best = PA.best_portfolio(st["fronts"]).agg(F.sum("quality").alias("bq"), F.sum("cost").alias("bc"))
@@ -189,21 +253,26 @@ def gap_to_best(spark, sf_dir):
 
 
 @query("quality_cost_points", cube_sql(f"""
+{TASK_THIN_CTES}
 , {_BEST_POINT_SQL.strip()}
 SELECT 'model' AS kind, answerer_llm_alias AS name, round(sum(cost), 9) AS cost,
        round(sum(quality), 9) AS quality, {_py_round("round(sum(cost), 9)", 3)} AS cost_label,
        {_py_round("round(sum(quality), 9)", 1)} AS quality_label
 FROM cube GROUP BY 2
 UNION ALL
-SELECT 'best', 'highest quality', cost, quality, {_py_round("cost", 3)}, {_py_round("quality", 1)} FROM bestpt""".lstrip()))
+SELECT 'best', 'highest quality', cost, quality, {_py_round("cost", 3)}, {_py_round("quality", 1)} FROM bestpt
+UNION ALL
+SELECT 'frontier', T, cost, quality, {_py_round("cost", 3)}, {_py_round("quality", 1)} FROM task_thin""".lstrip()))
 def quality_cost_points(spark, sf_dir):
+    """Points of the quality/cost chart: models, the best portfolio, and the thinned frontier of each task's portfolios."""
     st = _stage(spark, sf_dir)
     models = st["cube"].groupBy(F.col(A).alias("name")).agg(
         F.round(F.sum("cost"), 9).alias("cost"), F.round(F.sum("quality"), 9).alias("quality"))
     models = models.select(F.lit("model").alias("kind"), "name", "cost", "quality")
     best = _best_point(st).select(F.lit("best").alias("kind"), F.lit("highest quality").alias("name"),
                                   "cost", "quality")
-    return models.unionByName(best).withColumns({
+    thin = task_frontier_thinned(spark, sf_dir).select(F.lit("frontier").alias("kind"), F.col("T").alias("name"), "cost", "quality")
+    return models.unionByName(best).unionByName(thin).withColumns({
         "cost_label": label_round(F.col("cost"), 3), "quality_label": label_round(F.col("quality"), 1)})
 
 

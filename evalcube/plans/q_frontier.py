@@ -37,7 +37,7 @@ ranked AS (
   FROM edges WINDOW w AS (ORDER BY slope DESC, cell_idx, vidx)
 ),
 hull AS (
-  SELECT 0 AS step, NULL AS T, NULL AS D, NULL AS L, NULL AS llm_id, c0 AS c, q0 AS q FROM st
+  SELECT 0 AS step, CAST(NULL AS VARCHAR) AS T, CAST(NULL AS VARCHAR) AS D, CAST(NULL AS VARCHAR) AS L, CAST(NULL AS INTEGER) AS llm_id, c0 AS c, q0 AS q FROM st
   UNION ALL
   SELECT step, T, D, L, llm_id, (SELECT c0 FROM st) + cdc, (SELECT q0 FROM st) + cdq FROM ranked
 ),

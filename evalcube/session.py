@@ -63,6 +63,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_table(df, name: str):
+    """Write ``df`` to a fresh folder of the shared work folder and read it back (lineage cut); ``drop_table`` deletes it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark's file systems keep it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def drop_table(df) -> None:
+    """Delete the files of a ``write_table`` that nothing reads any more."""
+    delete_folder(df.sparkSession, df._written_at)
+
+
 _MATERIALIZED: dict[tuple, str] = {}
 
 
