@@ -10,17 +10,26 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def estimated_size(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan (exact for local rows)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - stats unavailable (e.g. connect mode)
-        return BROADCAST_LIMIT_BYTES + 1
+#: Plan nodes whose output is at most their leaves' rows: what was written or given as literals.
+_MEASURED = {"Project", "Filter", "SubqueryAlias", "LocalRelation", "LogicalRelation", "Range", "OneRowRelation", "Generate"}
+
+
+def known_size(df: DataFrame) -> int | None:
+    """Bytes of local rows or of written files; None where the plan computes them and Catalyst could only guess."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _MEASURED:
+            return None
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimate is under ``limit_bytes``."""
-    return F.broadcast(df) if estimated_size(df) <= limit_bytes else df
+    """Hint a broadcast when the size is known and under ``limit_bytes``; else the join is left to the sizes AQE measures."""
+    size = known_size(df)
+    return F.broadcast(df) if size is not None and size <= limit_bytes else df
 
 
 def broadcast_written(df: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.literals import from_literal
 from ..functions.judge_parse import STATUS_BAD, STATUS_OK, with_parsed_total
 
 GROUP_COL = "lr_answer_bronze_id"
@@ -21,9 +22,8 @@ _ANSWER_SCHEMA = "choices ARRAY<STRUCT<message: STRUCT<role: STRING, content: ST
 
 
 def request_text(messages: Column) -> Column:
-    """Content of the second message (whatever its role), JSON list text or array."""
-    parsed = F.from_json(messages, _MESSAGES_SCHEMA)
-    return F.try_element_at(parsed, F.lit(2))["content"]
+    """Content of the second message (whatever its role); the list is JSON or a Python literal."""
+    return F.try_element_at(from_literal(messages, _MESSAGES_SCHEMA), F.lit(2))["content"]
 
 
 def answer_text(response: Column) -> Column:
@@ -68,7 +68,9 @@ def remove_poisoned_groups(df: DataFrame, group_col: str = GROUP_COL) -> DataFra
     One anti join on the group key: the bad-group set is tiny next to the
     records, so AQE turns it into a broadcast at run time; when it is not,
     the sort-merge anti join is split by AQE's skew handling on hot groups.
-    Bad rows without a group key go too.
+    Bad rows without a group key go too. Both sides read ``df``: hand over a
+    written table (``dashboard.scored_from`` does), or it is parsed twice. The
+    table is not bucketed by group, as one group may hold a third of all rows.
     """
     is_bad = F.col("judge.status") == STATUS_BAD
     bad_groups = df.filter(is_bad & F.col(group_col).isNotNull()).select(group_col).distinct()
@@ -94,10 +96,9 @@ def complete_groups(df: DataFrame, group_size: int = 5, group_col: str = GROUP_C
 
 
 def derive_group_id(df: DataFrame, text_col: str = "messages") -> DataFrame:
-    """Deterministic group id for records without one: equal messages, equal id."""
-    return df.withColumn(GROUP_COL, F.coalesce(F.col(GROUP_COL) if GROUP_COL in df.columns
-                                               else F.lit(None).cast("long"),
-                                               F.xxhash64(F.col(text_col))))
+    """Group id (as text) for records without one: the SHA-256 of their messages, so equal messages share a group."""
+    own = F.col(GROUP_COL).cast("string") if GROUP_COL in df.columns else F.lit(None).cast("string")
+    return df.withColumn(GROUP_COL, F.coalesce(own, F.sha2(F.encode(F.col(text_col), "UTF-8"), 256)))
 
 
 def primary_task(labels: Column) -> Column:

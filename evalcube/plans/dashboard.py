@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C
 from ..operators.cost import with_cost
 from ..sources.fixtures import judged_records
+from ..session import write_table
 from ..sources.registry import alias_map, model_registry
 
 
@@ -17,15 +18,19 @@ def cleaned_records(spark: SparkSession, sf_dir: str, replicas: int = 1) -> Data
 
 
 def scored_from(spark: SparkSession, cleaned: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """Poisoned groups removed, quality read, cost added."""
+    """Poisoned groups removed, quality read, cost added.
+
+    The parsed rows are written once; both sides of the anti join read them, the
+    bad groups from two columns.
+    """
     reg = registry if registry is not None else model_registry(spark)
-    kept = C.with_quality(C.remove_poisoned_groups(cleaned))
+    kept = C.with_quality(C.remove_poisoned_groups(write_table(cleaned, "parsed")))
     return with_cost(kept, reg, alias_map(spark)).drop("judge")
 
 
 def scored_records(spark: SparkSession, sf_dir: str, replicas: int = 1) -> DataFrame:
     """The scored table (quality, cost) that every profile, cube and frontier reads."""
-    return scored_from(spark, cleaned_records(spark, sf_dir, replicas))
+    return scored_from(spark, cleaned_records(spark, sf_dir, replicas).drop("messages", "eval_result"))
 
 
 SLIM_COLUMNS = ["id", C.GROUP_COL, C.ALIAS_COL, "label_task", "label_domain", "label_level",

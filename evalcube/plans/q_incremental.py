@@ -10,6 +10,7 @@ from ..session import scratch_path
 from ..sources.fixtures import judged_records
 from ..streaming import incremental as I
 from .oracle_base import with_rec
+from .q_scoring import crit_sql
 from .registry import query
 
 A = ALIAS_COL
@@ -73,19 +74,34 @@ def judge_pending(spark, sf_dir):
     return judged.select("id", F.col("judge.status").alias("status"), F.col("judge.score").alias("score"))
 
 
-@query("stream_incremental")
+@query("resume_latest", with_rec("""
+SELECT e AS id, CASE WHEN e % 2 = 0 THEN concat('reply ', e) END AS reply, CASE WHEN e % 2 = 0 THEN 'a' ELSE 'b' END AS prompt FROM rec"""))
+def resume_latest(spark, sf_dir):
+    """Repeated earlier results: an empty reply under a later prompt doesn't hide the one that was given."""
+    recs = judged_records(spark, sf_dir)
+    work = eval_projection(recs).select("id")
+    row = lambda prompt, reply: F.struct(F.lit(prompt).alias("eval_prompt"), reply.alias("eval_response"))
+    reply = F.when(F.col("id") % 2 == 0, F.concat(F.lit("reply "), F.col("id").cast("string")))
+    done = recs.select("id", F.inline(F.array(row("b", F.lit(None).cast("string")), row("a", reply))))
+    return I.resume_merge(work, done).select("id", F.col("eval_response_existing").alias("reply"), F.col("eval_prompt_existing").alias("prompt"))
+
+
+@query("stream_incremental", crit_sql("""
+SELECT c.e AS id, c.alias AS answerer_llm_alias, r.template, 'ok' AS status, CAST(0.0 AS DOUBLE) AS score
+FROM rec c LEFT JOIN routing r ON r.task = c.label_task[1] WHERE c.label_task IS NOT NULL"""))
 def stream_incremental(spark, sf_dir):
-    """Two file drops judged by two availableNow runs, then a run with nothing new.
+    """Two file drops judged by two runs, the second after its checkpoint was lost, then a run with nothing new.
 
-    Every record is judged exactly once; the sink is read back.
+    A failed attempt has left an uncommitted part as well. Every record is judged
+    exactly once; the committed results are read back.
     """
     recs = judged_records(spark, sf_dir)
     half = recs.agg(((F.max("id") + 1) / 2).alias("h")).scalar()
     src, sink, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-sink", "stream-ckpt"))
     schema = recs.schema
     recs.filter(F.col("id") < half).write.mode("append").parquet(src)
-    I.run_incremental(spark, src, sink, ckpt, schema)
+    I.run_incremental(spark, src, sink, ckpt, schema).read(I.RESULT_DDL).limit(3).write.parquet(f"{sink}/parts/failed")
+    ckpt = scratch_path(spark, "stream-ckpt")
     recs.filter(F.col("id") >= half).write.mode("append").parquet(src)
     I.run_incremental(spark, src, sink, ckpt, schema)
-    I.run_incremental(spark, src, sink, ckpt, schema)
-    return spark.read.parquet(sink).select("id", A, "template", "status", "score", "micro_batch")
+    return I.run_incremental(spark, src, sink, ckpt, schema).read(I.RESULT_DDL).select("id", A, "template", "status", "score")

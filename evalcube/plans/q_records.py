@@ -143,11 +143,24 @@ def complete_groups(spark, sf_dir):
     return C.complete_groups(C.clean_required(judged_records(spark, sf_dir))).select("id", G)
 
 
+@query("request_literals", with_rec("""
+SELECT e AS id, CASE WHEN e % 3 = 2 THEN '' ELSE concat('it''s "q', g, '" \\', chr(10), 'é') END AS req FROM rec"""))
+def request_literals(spark, sf_dir):
+    """Messages logged as Python literals: None, True, both quotes, escapes, a tuple; by id also JSON and unreadable text."""
+    g = F.col(G).cast("string")
+    literal = F.concat(F.lit("({'role': 'system', 'content': None, 'cached': True}, {'role': u'user', 'content': 'it\\'s \"q"), g,
+                       F.lit("\" \\\\\\n\\xe9'},)"))
+    as_json = F.concat(F.lit('[{"role": "system", "content": null}, {"role": "user", "content": "it\'s \\"q'), g, F.lit('\\" \\\\\\n\\u00e9"}]'))
+    k = F.col("id") % 3
+    df = judged_records(spark, sf_dir).withColumn("messages", F.when(k == 0, literal).when(k == 1, as_json).otherwise("[{'role': 'open"))
+    return df.select("id", F.coalesce(C.request_text(F.col("messages")), F.lit("")).alias("req"))
+
+
 @query("derive_group_id", with_text("""
 SELECT e AS id, sha256(messages) AS derived_group_id FROM txt"""))
 def derive_group_id(spark, sf_dir):
     df = judged_records(spark, sf_dir)
-    return df.select("id", F.sha2(F.col("messages"), 256).alias("derived_group_id"))
+    return C.derive_group_id(df.drop(G)).select("id", F.col(G).alias("derived_group_id"))
 
 
 # ---------------------------------------------------------------- cost

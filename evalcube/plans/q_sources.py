@@ -34,10 +34,34 @@ def scan_csv_labels(spark, sf_dir):
 def scan_json_records(spark, sf_dir):
     path = scratch_path(spark, "records") + ".json"
     RD.write_results_json(_records(spark, sf_dir), path)
-    df = spark.read.schema(RD.RECORD_DDL.replace("label_task STRING, label_level STRING, label_domain STRING",
-                                                 "label_task ARRAY<STRING>, label_level ARRAY<STRING>, "
-                                                 "label_domain ARRAY<STRING>")).json(path)
-    return RD.normalize_schema(df).select("id", *RD.LABEL_COLUMNS, A, "status_code")
+    return RD.read_response_log(spark, path).select("id", *RD.LABEL_COLUMNS, A, "status_code")
+
+
+@query("scan_json_document", _LABELS_SQL)
+def scan_json_document(spark, sf_dir):
+    """Files that are one JSON array each, a record over several lines; the reader finds out by itself."""
+    path = scratch_path(spark, "documents") + ".json"
+    recs = _records(spark, sf_dir)
+    one = F.replace(F.to_json(F.struct(*recs.columns)), F.lit(',"'), F.lit(',\n  "'))
+    arrays = recs.groupBy(F.floor(F.col("id") / 1000).alias("doc")).agg(
+        F.concat(F.lit("[\n "), F.array_join(F.collect_list(one), ",\n "), F.lit("\n]")).alias("value"))
+    arrays.repartition("doc").write.partitionBy("doc").text(path)
+    return RD.read_response_log(spark, path).select("id", *RD.LABEL_COLUMNS, A, "status_code")
+
+
+@query("json_corrupt_records", with_rec("""
+SELECT CASE WHEN e % 97 = 0 THEN 'corrupt' ELSE 'read' END AS state, count(*) AS n_records,
+       CAST(sum(CASE WHEN e % 97 = 0 THEN 0 ELSE e END) AS BIGINT) AS id_sum FROM rec GROUP BY 1"""))
+def json_corrupt_records(spark, sf_dir):
+    """Cut lines of a JSON log are returned with their text, none is lost."""
+    path = scratch_path(spark, "cut") + ".json"
+    recs = _records(spark, sf_dir)
+    line = F.to_json(F.struct(*recs.columns))
+    recs.select(F.when(F.col("id") % 97 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value")).write.text(path)
+    df = RD.read_response_log(spark, path, bad="keep").select("id", RD.CORRUPT)
+    cut = F.col(RD.CORRUPT).isNotNull()
+    return df.groupBy(F.when(cut, "corrupt").otherwise("read").alias("state")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(F.when(cut, 0).otherwise(F.col("id"))).cast("bigint").alias("id_sum"))
 
 
 @query("normalize_schema", with_rec("""

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.literals import from_literal
+
 LABEL_COLUMNS = ["label_task", "label_level", "label_domain"]
 
 # Old column names of response logs and their current names.
@@ -27,19 +29,11 @@ RECORD_DDL = ("id BIGINT, lr_answer_bronze_id BIGINT, source_id STRING, messages
 REQUIRED = ["id", "answerer_llm_alias", "label_task"]
 
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
-_OUTSIDE_QUOTES = r"\b(?=(?:[^'\"]*['\"][^'\"]*['\"])*[^'\"]*$)"
-_LIST_OPTS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def parse_list_literal(text: Column) -> Column:
-    """Python list literal (or JSON array) -> ARRAY<STRING>; unreadable text -> NULL.
-
-    Text that is no JSON list is read again with bare None / True / False, outside quotes, in JSON spelling.
-    """
-    t = text
-    for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
-        t = F.regexp_replace(t, r"\b" + word + _OUTSIDE_QUOTES, json_word)
-    return F.coalesce(F.from_json(text, "ARRAY<STRING>", _LIST_OPTS), F.from_json(t, "ARRAY<STRING>", _LIST_OPTS))
+    """Python list literal (or JSON array) -> ARRAY<STRING>; unreadable text -> NULL."""
+    return from_literal(text, "ARRAY<STRING>")
 
 
 def to_list_literal(arr: Column) -> Column:
@@ -84,28 +78,49 @@ def read_csv_strings(spark: SparkSession, path: str, keep_na: bool = False) -> D
     return r.csv(path)
 
 
-def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL, document: bool = False) -> DataFrame:
+CORRUPT = "_corrupt_record"
+
+
+def is_json_document(spark: SparkSession, path: str) -> bool:
+    """Whether the first text of the files opens an array, or an object that goes on in the next line."""
+    first = spark.read.text(path).filter(F.trim("value") != "").select(F.trim("value").alias("v")).head(1)
+    return bool(first) and (first[0]["v"].startswith("[") or first[0]["v"] == "{")
+
+
+def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL, document: bool | None = None,
+                      bad: str = "fail") -> DataFrame:
     """JSON response log (label lists as JSON arrays or list-literal text).
 
-    ``document`` reads files that are one JSON document (an array of records or
-    one record); otherwise each line is a record. Unreadable records are left out.
+    ``document`` reads files that are one JSON document each (an array of records
+    or one record; a file is then one task), otherwise each line is a record; None
+    looks at the first line. No record is left out silently: ``bad="fail"`` ends the
+    query at a record that can't be read, ``bad="keep"`` returns it with its text in
+    ``_corrupt_record`` (NULL for the others), to be counted or set apart.
     """
+    if bad not in ("fail", "keep"):
+        raise ValueError("bad is 'fail' or 'keep'")
+    if document is None:
+        document = is_json_document(spark, path)
     names = [f.name for f in T._parse_datatype_string(ddl).fields]
     old = [o for o, n in LEGACY_NAMES.items() if n in names]
-    both = ", ".join([ddl, *(f"{o} STRING" for o in old)])
-    df = spark.read.schema(both).option("multiLine", document).option("mode", "DROPMALFORMED").json(path)
+    both = ", ".join([ddl, *(f"{o} STRING" for o in old), *([f"{CORRUPT} STRING"] if bad == "keep" else [])])
+    df = (spark.read.schema(both).option("multiLine", document).option("mode", "PERMISSIVE" if bad == "keep" else "FAILFAST")
+          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     for o in old:
         df = df.withColumn(LEGACY_NAMES[o], F.coalesce(LEGACY_NAMES[o], o)).drop(o)
     return _with_labels(df)
 
 
-def read_response_log(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the file suffix; an unsupported suffix raises (never an empty frame)."""
+def read_response_log(spark: SparkSession, path: str, document: bool | None = None, bad: str = "fail") -> DataFrame:
+    """Dispatch on the file suffix; an unsupported suffix raises (never an empty frame).
+
+    ``document`` and ``bad`` hold for JSON, see ``read_json_records``.
+    """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix == ".csv":
         return read_csv_records(spark, path)
     if suffix == ".json":
-        return read_json_records(spark, path)
+        return read_json_records(spark, path, document=document, bad=bad)
     if suffix == ".parquet":
         return normalize_schema(spark.read.parquet(path))
     raise ValueError(f"unsupported response log format: {path}")

@@ -13,14 +13,14 @@ def test_stream_runs_are_incremental(spark, sf_dir):
     recs = judged_records(spark, sf_dir)
     src, sink, ckpt = (scratch_path(spark, n) for n in ("t-src", "t-sink", "t-ckpt"))
     recs.filter("id < 300").write.mode("append").parquet(src)
-    I.run_incremental(spark, src, sink, ckpt, recs.schema)
-    first = spark.read.parquet(sink).count()
+    log = I.run_incremental(spark, src, sink, ckpt, recs.schema)
+    first = log.read(I.RESULT_DDL).count()
     I.run_incremental(spark, src, sink, ckpt, recs.schema)  # nothing new
     labelled = recs.filter("id < 300 AND size(label_task) > 0").count()
-    assert spark.read.parquet(sink).count() == first == labelled
+    assert log.read(I.RESULT_DDL).count() == first == labelled
     recs.filter("id >= 300").write.mode("append").parquet(src)
     I.run_incremental(spark, src, sink, ckpt, recs.schema)
-    out = spark.read.parquet(sink)
+    out = log.read(I.RESULT_DDL)
     total = recs.filter("size(label_task) > 0").count()
     assert out.count() == total
     assert out.select("id").distinct().count() == total
