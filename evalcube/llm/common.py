@@ -49,8 +49,9 @@ def release(*tables: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def read_documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

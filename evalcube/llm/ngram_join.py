@@ -22,10 +22,16 @@ token orders, so no link is lost:
 
 Pairs of a token are not enumerated: first each class is compared with the
 token's leader among classes of about its size (the one whose tokens are the most
-shared, for some tokens any) and the links are united; then only pairs of
-different components remain, taken from the classes outside the token's largest
-component. A token whose classes are already one component needs no more pairs.
-Links within one component can't change the result and are not looked for.
+shared, for some tokens any) and the links are united. Then, round by round, each
+class outside a token's largest component meets one leader of that component,
+another one for each token and round, and the links are united again: a round's
+pairs are at most its postings. Only then the pairs of different components that
+are left are enumerated, from the classes outside the
+token's largest component. A token whose classes are one component needs no more
+pairs; links within a component can't change the result and are not looked for.
+
+Token counts are taken in slices by token, and a class's tokens are gathered in
+slices by class, so that the shuffled rows on disk at any time are a slice's.
 
 Defined cases: null or empty text and text without words has an empty set and
 links with nothing; one or two words are one shingle; repeated rows link; a null
@@ -44,6 +50,10 @@ from .common import connected_components, give_back_memory, release, stage, with
 from .shingles import buffers, shingle_sets
 
 U = np.uint64
+#: Parts in which the tokens are counted and gathered, one after the other.
+SLICES = 4
+#: Rounds of leaders before what is left is enumerated; the result does not depend on it.
+ROUNDS = 2
 
 
 def _missing(a: int, percent: int) -> int:
@@ -76,13 +86,17 @@ def _signatures(width: int, percent: int):
     return scan
 
 
-def _explode_tokens(batches):
-    for b in batches:
-        uid = b.column(0).to_numpy(zero_copy_only=False)
-        pre = b.column(1).to_pylist()
-        n = np.array([len(p) // 8 for p in pre], np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(pre), np.int64)), pa.array(np.repeat(uid, n))], names=["h", "uid"])
+def _explode_tokens_of(uid_name: str, tokens_name: str):
+    """(uid, packed tokens) -> (h, uid)."""
+
+    def scan(batches):
+        for b in batches:
+            uid = b.column(uid_name).to_numpy(zero_copy_only=False)
+            pre = b.column(tokens_name).to_pylist()
+            n = np.array([len(p) // 8 for p in pre], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(b"".join(pre), np.int64)), pa.array(np.repeat(uid, n))], names=["h", "uid"])
+    return scan
 
 
 def _sets(width: int):
@@ -123,20 +137,46 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_verify(percent), "a bigint, b bigint"))
 
 
-def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str) -> DataFrame:
+def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str, name: str) -> list[DataFrame]:
     """(uid, n, central, pos, h): of each class's (h, uid) entries the ``take`` rarest, without those no other class has.
 
     ``pos`` counts the class's rarer tokens, ``central`` is how many classes share
-    its tokens on average: high for a text that others are copies of.
+    its tokens on average: high for a text that others are copies of. The rows
+    come as staged tables, one for each slice of the classes.
     """
-    common = entries.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = (entries.join(common, "h").groupBy("uid")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid"))
-    shared = shared.withColumn("own", F.expr(f"cast({size} - size(t) as int)")).withColumn("left", F.expr(f"cast({take} - own as int)"))
-    return shared.filter("left > 0").select(
-        "uid", "n", F.expr(f"aggregate(t, 0D, (s, x) -> s + x.df) / ({size})").alias("central"), "own",
-        F.posexplode(F.expr("slice(t.h, 1, left)")).alias("i", "h")).select(
-        "uid", "n", "central", (F.col("own") + F.col("i")).alias("pos"), "h")
+    shared = []
+    for k in range(SLICES):
+        some = entries.filter(F.pmod("h", F.lit(SLICES)) == k)
+        common = some.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+        shared.append(stage(some.join(common, "h").select("uid", "df", "h"), f"{name}-shared"))
+        release()
+    out = []
+    for k in range(SLICES):
+        mine = _union(shared).filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k)
+        own = (mine.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid")
+               .withColumn("own", F.expr(f"cast({size} - size(t) as int)")).withColumn("left", F.expr(f"cast({take} - own as int)")))
+        out.append(stage(own.filter("left > 0").select(
+            "uid", "n", F.expr(f"aggregate(t, 0D, (s, x) -> s + x.df) / ({size})").alias("central"), "own",
+            F.posexplode(F.expr("slice(t.h, 1, left)")).alias("i", "h")).select(
+            "uid", "n", "central", (F.col("own") + F.col("i")).alias("pos"), "h"), name))
+        release()
+    release(*shared)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _pairs(x: DataFrame, y: DataFrame, fits, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet at a token within the bounds and have not been compared."""
+    x = x.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
+    y = y.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
+    return (x.join(y, "h").filter("ca <> cb").filter(fits)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
@@ -153,24 +193,27 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sig = base.select("uid", "raw", "id").mapInArrow(
         _signatures(width, percent),
         f"uid bigint, n bigint, s1 bigint, s2 bigint, prefix binary, id {dict(base.dtypes)['id']}")
-    sig = stage(sig, "nj-signatures")
+    wide = stage(sig, "nj-prefixes")
     key = ["n", "s1", "s2"]
+    sig = stage(wide.drop("prefix"), "nj-signatures")
     classes = stage(sig.filter("n > 0").groupBy(*key).agg(F.min("uid").alias("uid")), "nj-classes")
+    heads = stage(wide.select("uid", "prefix").join(classes.select("uid"), "uid", "left_semi"), "nj-heads")
+    release(wide)
 
     # sizes of the hash-order prefix and of the rarity-order prefix within it
     need = f"cast(ceil({percent} * n / 100) as bigint)"
     size = f"least(n, n - {need} + cast(ceil(n / 10) as bigint))"
-    entries = (sig.select("uid", "prefix").join(classes.select("uid"), "uid", "left_semi")
-               .mapInArrow(_explode_tokens, "h bigint, uid bigint"))
-    first = _rarest(entries, classes, f"{size} - cast(ceil({need} / 10) as bigint) + 1", size)
-    first = stage(first.select("uid", "h"), "nj-first")
+    entries = heads.mapInArrow(_explode_tokens_of("uid", "prefix"), "h bigint, uid bigint")
+    firsts = _rarest(entries, classes, f"{size} - cast(ceil({need} / 10) as bigint) + 1", size, "nj-first")
+    release(heads)
+    first = _union(firsts).select("uid", "h")
     met = first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     wanted = stage(first.join(met, "h", "left_semi").select("uid").distinct(), "nj-wanted")
     sets = stage(base.select("uid", "raw").join(wanted, "uid", "left_semi")
                  .mapInArrow(_sets(width), "uid bigint, tokens binary"), "nj-sets")
-    release(first, wanted)
-    post = _rarest(sets.mapInArrow(_explode_tokens, "h bigint, uid bigint"), classes, f"n - {need} + 1", "n")
-    post = stage(post, "nj-postings")
+    release(*firsts, wanted)
+    posts = _rarest(sets.mapInArrow(_explode_tokens_of("uid", "tokens"), "h bigint, uid bigint"), classes, f"n - {need} + 1", "n", "nj-postings")
+    post = _union(posts)
     again = post.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     # two thirds of the tokens are led by their most central class, the others by any
     lead_by = F.when(F.pmod("h", F.lit(3)) < 2, F.col("central")).otherwise(F.xxhash64("uid").cast("double"))
@@ -187,27 +230,40 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"))
         .filter("a <> b").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "nj-star")
-    links1 = stage(_linked(star, sets, percent), "nj-links1")
-    comp1 = connected_components(links1, "nj-cc1")
-
-    member = stage(post.join(again, "h", "left_semi")
-                   .join(comp1.withColumnRenamed("node", "uid"), "uid", "left")
-                   .select("h", "uid", "n", "pos", F.coalesce("component", "uid").alias("c")), "nj-members")
-    mixed = (member.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h")
-             .agg(F.count("*").alias("g"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("g > 1"))
-    minor = member.join(mixed.select("h", "major"), "h").filter("c <> major")
-    x = minor.select("h", F.col("uid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-    y = member.select("h", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
-    rest = (x.join(y, "h").filter("ca <> cb").filter(fits)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    links2 = _linked(rest, sets, percent)
-    comp = connected_components(links1.union(links2), "nj-cc2")
-
-    found = (classes.join(comp.withColumnRenamed("node", "uid"), "uid", "left")
-             .select(*key, F.coalesce("component", "uid").alias("c")))
+    links = stage(_linked(star, sets, percent), "nj-links")
+    comp = connected_components(links, "nj-cc").withColumnRenamed("node", "uid")
+    member0 = stage(post.join(again, "h", "left_semi").join(comp, "uid", "left")
+                    .select("h", "uid", "n", "pos", F.coalesce("component", "uid").alias("c0")), "nj-members")
+    # links found later join components of the first ones: few rows, in terms of components
+    tried, later, joined = [star], [], None
+
+    def now(t: DataFrame) -> DataFrame:
+        if joined is None:
+            return t.withColumn("c", F.col("c0"))
+        return t.join(joined, t["c0"] == joined["node"], "left").withColumn("c", F.coalesce("component", "c0")).drop("node", "component")
+
+    for turn in range(ROUNDS + 1):
+        member = now(member0).select("h", "uid", "n", "pos", "c")
+        mixed = (member.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h")
+                 .agg(F.count("*").alias("g"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("g > 1"))
+        inside = member.join(mixed.select("h", "major"), "h")
+        minor = inside.filter("c <> major").drop("major")
+        hub = (inside.filter("c = major").groupBy("h").agg(F.max_by(F.struct("uid", "n", "pos", "c"), F.xxhash64("uid", "h", F.lit(turn))).alias("l"))
+               .select("h", "l.*"))
+        pairs = stage(_pairs(minor, hub if turn < ROUNDS else member, fits, _union(tried)), "nj-round")
+        more = stage(_linked(pairs, sets, percent), "nj-links")
+        tried.append(pairs)
+        if not more.isEmpty():
+            later.append(more)
+            ends = _union(later)
+            for end in ("a", "b"):
+                ends = ends.join(comp.select(F.col("uid").alias(end), F.col("component").alias("c" + end)), end, "left")
+            joined = stage(connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "nj-cc"), "nj-joined")
+        release()
+
+    found = now(classes.join(comp, "uid", "left").select(*key, F.coalesce("component", "uid").alias("c0"))).select(*key, "c")
     found = stage(found, "nj-found")
-    release(sets, post, star, links1, member)
+    release(sets, *posts, *tried, links, *later, member0)
     rows = sig.select("uid", *key, "id")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     # one row for each class, then for each component; the rows meet their class again
