@@ -61,7 +61,7 @@ def windows(chats: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     if not 0 <= history <= budget:
         raise ValueError("history must not exceed the budget")
     rows = with_uid(chats.select(
-        F.coalesce(F.col(conv_col).cast("string"), F.lit("null")).alias("key"), F.col(conv_col).alias("conv"),
+        F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("null")).alias("key"), F.col(conv_col).alias("conv"),
         F.col(turn_col).cast("bigint").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     rows = rows.withColumn("tok", F.ceil(F.length("text") / chars_per_token) + turn_tokens)

@@ -22,15 +22,18 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2_000
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut all executors can read."""
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lineage cut all executors can read.
+
+    ``codec`` is another compression than the session's, for copies of texts that take much disk.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=codec)
     finally:
         spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -144,7 +144,7 @@ def repeated_passages(docs: DataFrame, words: int, part_docs: int = 256) -> Data
     release(prints)
     n_parts = max(1, kept.count() // part_docs)
     part = (F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) % n_parts).cast("int")
-    work = stage(docs.select("uid", "raw").join(kept, "uid").select("uid", "raw", part.alias("part"), "kept"), "pw-work")
+    work = stage(docs.select("uid", "raw").join(kept, "uid").select("uid", "raw", part.alias("part"), "kept"), "pw-work", "zstd")
     release(kept)
     # a run's rows are one for each batch and part that holds it
     strings = work.select("part", "raw", "kept").mapInArrow(_strings(words), "part int, h bigint, n bigint")

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(read_documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

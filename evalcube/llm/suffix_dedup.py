@@ -556,7 +556,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_d
     kept = prints.join(again, "f", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_set("at")).alias("kept"))
     kept = stage(kept.join(classes.select("uid", "copied"), "uid"), "sa-kept")
     release(prints)
-    cand = stage(docs.select("uid", "raw").join(kept, "uid"), "sa-candidates")
+    cand = stage(docs.select("uid", "raw").join(kept, "uid"), "sa-candidates", "zstd")
     release(kept)
 
     symbols = cand.mapInArrow(_symbol_rows(length, window), "sh bigint, s binary").groupBy("sh").agg(F.first("s").alias("s"))
@@ -584,7 +584,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, window: int = 256, part_d
                  .select("uid", "raw", "copied", (part % n_parts).alias("part"), "full",
                          *(F.coalesce(F.col(f"m.{c}"), F.array().cast(t)).alias(c)
                            for c, t in (("at", "array<int>"), *((m, "array<bigint>") for m in masks)))),
-                 "sa-work")
+                 "sa-work", "zstd")
     release(cand, full)
     # a string's rows are one for each batch that holds it, with how often it does
     strings = work.select("part", "raw", "at", *masks).mapInArrow(

@@ -318,3 +318,10 @@ def test_empty_tables(spark, empty):
     assert chat_windows.read_back(stage(chat_windows.windows(none("conv_id bigint, turn bigint, role string, text string")), "w")).count() == 0
     assert hnsw.vector_groups(none("vec_id bigint, embedding array<float>")).count() == 0
     assert pu_quality.score_quality(empty, none("doc_id bigint, quality int"), F.lit(True)).count() == 0
+
+
+def test_chat_ids_of_text_are_told_from_null(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), ("null", 0, "user", "c"), ("null", 1, "assistant", "d")]
+    chats = stage(spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string"), "test-null-ids")
+    back = chat_windows.read_back(stage(chat_windows.windows(chats), "test-null-windows")).collect()
+    assert sorted((r.conv or "", r.n_turns, r.loss) for r in back) == [("", 2, "b"), ("null", 2, "d")]

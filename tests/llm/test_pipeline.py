@@ -67,3 +67,47 @@ def test_near_duplicates_from_80_percent_of_five_words_are_one(spark):
     expected += [True, True, False, False, True, False]
     got = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, _docs(spark, texts, "test-near"), "").collect()}
     assert got == {i for i, kept in enumerate(expected) if kept}
+
+
+CLASH = SCHEMA + ", uid string, pass string, raw string, parts string, _kept string, first string, n_words string, _further_0 string"
+
+
+def test_further_columns_keep_their_names_and_values(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(_words(rng, 60)), "en", "ab"[i % 2], *(f"{c}{i}" for c in range(8))) for i in range(20)]
+    docs = stage(spark.createDataFrame(rows, CLASH), "test-clash")
+    for name, step in corpus_pipeline.STAGES[:4]:
+        docs = stage(step(spark, docs, ""), "test-clash-out")
+        assert docs.columns == [c.split()[0] for c in CLASH.split(", ")], name
+        assert {tuple(r)[4:] for r in docs.collect()} <= {r[4:] for r in rows} and docs.count() >= 20, name
+
+
+def test_run_over_planted_texts_and_an_empty_table(spark, tmp_path):
+    rng = random.Random(7)
+    shared = _words(rng, 55)
+    base = _words(rng, 150)
+    texts = [" ".join(_words(rng, 80)) for _ in range(12)]
+    texts += [" ".join(base), " ".join(base), " ".join([*base[:70], "other", *base[71:]])]  # copies: the first stays
+    texts += [" ".join(_words(rng, 60) + shared), " ".join(shared + _words(rng, 70))]  # a passage in two documents
+    texts += [None, "", "too few words", "spam " * 300]  # rejected
+    (tmp_path / "in").mkdir()
+    _docs(spark, texts, "test-run").coalesce(2).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "in")).collect()
+    assert {r.doc_id for r in out} == {*range(13), 15, 16}
+    from tokenizers import Tokenizer
+
+    from evalcube.llm.queries_llm import tokenizer_path
+    tok = Tokenizer.from_file(tokenizer_path())
+    alone = _without_repeats([texts[15], texts[16]])
+    whole = {i: texts[i] for i in range(13)} | {15: alone[0], 16: alone[1]}
+    ids = {i: tok.encode(t, add_special_tokens=False).ids for i, t in whole.items()}
+    for r in out:  # a pass of the mix is a document or its beginning
+        assert r.length <= 4096 and r.length <= len(ids[r.doc_id]) + 1
+    at = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 4096
+    (tmp_path / "none").mkdir()
+    _docs(spark, [], "test-none").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
