@@ -22,7 +22,7 @@ token orders, so no link is lost:
 
 Pairs of a token are not enumerated: first each class is compared with the
 token's leader among classes of about its size (the one whose tokens are the most
-shared, for some tokens any) and the links are united. Then, round by round, each
+shared, for some tokens any) and the links are united. Then, in a further round, each
 class outside a token's largest component meets one leader of that component,
 another one for each token and round, and the links are united again: a round's
 pairs are at most its postings. Only then the pairs of different components that
@@ -30,8 +30,8 @@ are left are enumerated, from the classes outside the
 token's largest component. A token whose classes are one component needs no more
 pairs; links within a component can't change the result and are not looked for.
 
-Token counts are taken in slices by token, and a class's tokens are gathered in
-slices by class, so that the shuffled rows on disk at any time are a slice's.
+Token counts are taken in slices by token, so that the rows shuffled for them are
+on disk for one slice at a time.
 
 Defined cases: null or empty text and text without words has an empty set and
 links with nothing; one or two words are one shingle; repeated rows link; a null
@@ -50,10 +50,10 @@ from .common import connected_components, give_back_memory, release, stage, with
 from .shingles import buffers, shingle_sets
 
 U = np.uint64
-#: Parts in which the tokens are counted and gathered, one after the other.
+#: Parts in which the tokens are counted, one after the other.
 SLICES = 4
 #: Rounds of leaders before what is left is enumerated; the result does not depend on it.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def _missing(a: int, percent: int) -> int:
@@ -137,12 +137,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(_verify(percent), "a bigint, b bigint"))
 
 
-def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str, name: str) -> list[DataFrame]:
+def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str, name: str) -> DataFrame:
     """(uid, n, central, pos, h): of each class's (h, uid) entries the ``take`` rarest, without those no other class has.
 
     ``pos`` counts the class's rarer tokens, ``central`` is how many classes share
-    its tokens on average: high for a text that others are copies of. The rows
-    come as staged tables, one for each slice of the classes.
+    its tokens on average: high for a text that others are copies of. The tokens
+    are counted slice by slice.
     """
     shared = []
     for k in range(SLICES):
@@ -150,16 +150,12 @@ def _rarest(entries: DataFrame, classes: DataFrame, take: str, size: str, name:
         common = some.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
         shared.append(stage(some.join(common, "h").select("uid", "df", "h"), f"{name}-shared"))
         release()
-    out = []
-    for k in range(SLICES):
-        mine = _union(shared).filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k)
-        own = (mine.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid")
-               .withColumn("own", F.expr(f"cast({size} - size(t) as int)")).withColumn("left", F.expr(f"cast({take} - own as int)")))
-        out.append(stage(own.filter("left > 0").select(
-            "uid", "n", F.expr(f"aggregate(t, 0D, (s, x) -> s + x.df) / ({size})").alias("central"), "own",
-            F.posexplode(F.expr("slice(t.h, 1, left)")).alias("i", "h")).select(
-            "uid", "n", "central", (F.col("own") + F.col("i")).alias("pos"), "h"), name))
-        release()
+    own = (_union(shared).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t")).join(classes.select("uid", "n"), "uid")
+           .withColumn("own", F.expr(f"cast({size} - size(t) as int)")).withColumn("left", F.expr(f"cast({take} - own as int)")))
+    out = stage(own.filter("left > 0").select(
+        "uid", "n", F.expr(f"aggregate(t, 0D, (s, x) -> s + x.df) / ({size})").alias("central"), "own",
+        F.posexplode(F.expr("slice(t.h, 1, left)")).alias("i", "h")).select(
+        "uid", "n", "central", (F.col("own") + F.col("i")).alias("pos"), "h"), name)
     release(*shared)
     return out
 
@@ -204,16 +200,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     need = f"cast(ceil({percent} * n / 100) as bigint)"
     size = f"least(n, n - {need} + cast(ceil(n / 10) as bigint))"
     entries = heads.mapInArrow(_explode_tokens_of("uid", "prefix"), "h bigint, uid bigint")
-    firsts = _rarest(entries, classes, f"{size} - cast(ceil({need} / 10) as bigint) + 1", size, "nj-first")
+    first = _rarest(entries, classes, f"{size} - cast(ceil({need} / 10) as bigint) + 1", size, "nj-first")
     release(heads)
-    first = _union(firsts).select("uid", "h")
     met = first.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     wanted = stage(first.join(met, "h", "left_semi").select("uid").distinct(), "nj-wanted")
     sets = stage(base.select("uid", "raw").join(wanted, "uid", "left_semi")
                  .mapInArrow(_sets(width), "uid bigint, tokens binary"), "nj-sets")
-    release(*firsts, wanted)
-    posts = _rarest(sets.mapInArrow(_explode_tokens_of("uid", "tokens"), "h bigint, uid bigint"), classes, f"n - {need} + 1", "n", "nj-postings")
-    post = _union(posts)
+    release(first, wanted)
+    post = _rarest(sets.mapInArrow(_explode_tokens_of("uid", "tokens"), "h bigint, uid bigint"), classes, f"n - {need} + 1", "n", "nj-postings")
     again = post.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h")
     # two thirds of the tokens are led by their most central class, the others by any
     lead_by = F.when(F.pmod("h", F.lit(3)) < 2, F.col("central")).otherwise(F.xxhash64("uid").cast("double"))
@@ -263,7 +257,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     found = now(classes.join(comp, "uid", "left").select(*key, F.coalesce("component", "uid").alias("c0"))).select(*key, "c")
     found = stage(found, "nj-found")
-    release(sets, *posts, *tried, links, *later, member0)
+    release(sets, post, *tried, links, *later, member0)
     rows = sig.select("uid", *key, "id")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     # one row for each class, then for each component; the rows meet their class again
