@@ -51,11 +51,11 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- criteria
-def criteria_scores(replies: DataFrame) -> DataFrame:
-    """One row per (record, criterion): parsed reply plus back-filled missing criteria."""
+def criteria_scores(replies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (record, criterion): parsed reply plus back-filled missing criteria; ``keep`` names further columns."""
     names = F.transform(criteria_of(F.col("template")), lambda c: c["criterion"])
     items = backfill(parse_criteria(F.col("reply")), names)
-    return replies.select("id", ALIAS_COL, "template", F.inline(items))
+    return replies.select("id", ALIAS_COL, "template", *keep, F.inline(items))
 
 
 def criteria_means(scores: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_cube, q_frontier, q_incremental, q_matrix, q_records, q_scoring, q_sources  # noqa: F401
+from . import q_cube, q_frontier, q_incremental, q_matrix, q_records, q_rubrics, q_scoring, q_sources  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "flagship"]

@@ -144,6 +144,18 @@ def write_results_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+PROMPT_LOG_DDL = ("id BIGINT, domain STRING, level STRING, prompt STRING, response STRING, reference_data STRING, "
+                  "evaluation_prompt STRING, task STRING")
+
+
+def prompt_log_rows(rendered: DataFrame) -> DataFrame:
+    """The log's columns of rendered eval records: first domain and level, request, answer, reference and judge prompt."""
+    return rendered.select(
+        "id", F.try_element_at("label_domain", F.lit(1)).alias("domain"), F.try_element_at("label_level", F.lit(1)).alias("level"),
+        F.col("req").alias("prompt"), F.col("res").alias("response"), F.coalesce("ref", F.lit("")).alias("reference_data"),
+        F.col("eval_prompt").alias("evaluation_prompt"), F.col("primary_task").alias("task"))
+
+
 def append_prompt_log(df: DataFrame, path: str, partition_col: str = "task") -> None:
     """Prompt log sink: appended, partitioned by task (one header-free file set per run)."""
     df.write.mode("append").partitionBy(partition_col).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.joins import local_table
@@ -57,3 +58,10 @@ def model_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def alias_map(spark: SparkSession) -> DataFrame:
     return local_table(spark, ALIAS_TO_KEY, "alias STRING, key STRING")
+
+
+def with_provider_id(df: DataFrame, registry: DataFrame, alias_col: str = "answerer_llm_alias") -> DataFrame:
+    """Add ``answerer_llm_id`` and ``id_status``; of an alias listed twice the greatest registry key holds."""
+    ids = registry.filter("alias IS NOT NULL").groupBy("alias").agg(F.max_by("id", "key").alias("answerer_llm_id"))
+    out = df.join(ids.withColumnRenamed("alias", alias_col), alias_col, "left")
+    return out.withColumn("id_status", F.when(F.col("answerer_llm_id").isNull(), "unknown_model").otherwise("ok"))
