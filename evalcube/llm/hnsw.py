@@ -4,14 +4,16 @@
 2. Classes are dealt to shards by hash. Each shard builds its graph: layers hold
    ever fewer points, a layer's points are linked to diverse near neighbours
    found by a beam search from the layer above.
-3. Every class queries every shard, in blocks. A query's beam is widened while
-   all of it lies above the threshold (there may be more), and the beam of all
-   queries is doubled until an audit of some of them against every vector of the
-   shard finds the wanted share of links.
-4. Links are verified by cosine in double precision.
-5. Each task sends on a spanning forest of the links it found, not the links;
-   components are united from those, and each vector's links are counted where
-   they are found.
+3. Every class queries every shard: a task takes two shards and lets each query the
+   other's graph. A query's beam is widened while all of it lies above the threshold
+   (there may be more), and the beam of all queries is doubled until an audit of some
+   of them against every vector of the shard finds the wanted share of each one's links.
+4. Links are verified by cosine in double precision. What either side finds is a link
+   of both vectors; a task holds its links as a bit matrix.
+5. Each task sends on counts and, for each vector, the least of those that its links
+   lead to, not the links; components are united from those.
+
+A graph is sent once for each shard, so what is moved grows with vectors times shards.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length never link; repeated
@@ -190,25 +192,16 @@ class Graph:
         return base.search(q, entry, min(beam, len(base.rows)), len(base.rows))
 
 
-class Forest:
-    """Union of links seen by a task."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        ra, rb = self.find(a), self.find(b)
-        if ra != rb:
-            self.up[max(ra, rb)] = min(ra, rb)
-            self.edges.append((a, b))
+def _unite(low: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Unite the points x[i] and y[i]; ``low`` holds each point's least companion and is kept so."""
+    while len(x):
+        a, b = low[x], low[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        pairs = np.unique(np.maximum(a, b).astype(np.int64) * len(low) + np.minimum(a, b))
+        np.minimum.at(low, pairs // len(low), pairs % len(low))
+        while not np.array_equal(low[low], low):
+            low[:] = low[low]
 
 
 def _links(graph: Graph, raw: np.ndarray, q: np.ndarray, threshold: float, beam: int):
@@ -225,64 +218,93 @@ def _links(graph: Graph, raw: np.ndarray, q: np.ndarray, threshold: float, beam:
         todo, beam = todo[full], 2 * beam
     a = np.concatenate([x for x, _ in out])
     b = np.concatenate([y for _, y in out])
-    va, vb = qd[a], raw[b].astype(np.float64)
-    cos = np.einsum("ij,ij->i", va, vb) / (np.linalg.norm(va, axis=1) * np.linalg.norm(vb, axis=1))
-    keep = cos >= threshold
+    keep = np.zeros(len(a), bool)
+    for s in range(0, len(a), 65_536):
+        va, vb = qd[a[s:s + 65_536]], raw[b[s:s + 65_536]].astype(np.float64)
+        keep[s:s + 65_536] = np.einsum("ij,ij->i", va, vb) / (np.linalg.norm(va, axis=1) * np.linalg.norm(vb, axis=1)) >= threshold
     return a[keep], b[keep]
 
 
-def _audit(graph: Graph, raw: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[int, int]:
-    """(links found, links there are) of the audited queries."""
-    a, _ = _links(graph, raw, q, threshold, beam)
-    qd, there = q.astype(np.float64), 0
+def _audit(graph: Graph, raw: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> float:
+    """Share of a query's links that the search finds, as a mean over the queries that have any.
+
+    ``own`` is a query's place in the shard (-1: it isn't there): a vector is no link of its own.
+    """
+    a, b = _links(graph, raw, q, threshold, beam)
+    found = np.bincount(a[b != own[a]], minlength=len(q))
+    qd, there = q.astype(np.float64), np.zeros(len(q), np.int64)
     norm = np.linalg.norm(qd, axis=1)
     for s in range(0, len(raw), 8192):
         part = raw[s:s + 8192].astype(np.float64)
-        there += int((qd @ part.T >= threshold * norm[:, None] * np.linalg.norm(part, axis=1)).sum())
-    return len(a), there
-
-
-def _search_shard(threshold: float, recall: float, audits: int):
-    def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        cols = {"uid": np.int64, "n": np.int64, "other": np.int64}
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({c: np.zeros(0, t) for c, t in cols.items()})
-        g = shard.iloc[0]
-        kind, dim = np.dtype(g["kind"]), int(g["dim"])
-        uid, copies = np.frombuffer(g["uids"], np.int64), np.frombuffer(g["copies"], np.int64)
-        raw = np.frombuffer(g["vectors"], kind).reshape(-1, dim)
-        graph = object.__new__(Graph)
-        unit = raw.astype(np.float64)
-        graph.vecs = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-        rows, links = np.frombuffer(g["rows"], np.int32).astype(np.int64), np.frombuffer(g["links"], np.int32)
-        graph.layers, at = [], 0
-        for n in np.frombuffer(g["sizes"], np.int64).tolist():
-            graph.layers.append(Layer(graph.vecs, rows[at:at + n], links[at * DEGREE:(at + n) * DEGREE].reshape(n, DEGREE)))
-            at += n
-        q_uid = np.concatenate([np.frombuffer(x, np.int64) for x in queries["uids"]])
-        q = np.concatenate([np.frombuffer(x, kind) for x in queries["vectors"]]).reshape(-1, dim)
-        beam = 24
-        some = q[np.linspace(0, len(q) - 1, min(audits, len(q))).astype(np.int64)]
-        while beam < len(raw):
-            found, there = _audit(graph, raw, some, threshold, beam)
-            if found >= recall * there:
-                break
-            beam *= 2
-        forest, uids, counts = Forest(), [], []
-        for s in range(0, len(q), BATCH):
-            a, b = _links(graph, raw, q[s:s + BATCH], threshold, beam)
-            a += s
-            other = q_uid[a] != uid[b]
-            a, b = a[other], b[other]
-            n = np.bincount(a - s, weights=copies[b], minlength=min(BATCH, len(q) - s)).astype(np.int64)
-            at = np.flatnonzero(n)
-            uids.append(q_uid[s + at])
-            counts.append(n[at])
-            for x, y in zip(q_uid[a].tolist(), uid[b].tolist()):
-                forest.join(x, y)
-        edges = np.array(forest.edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"uid": np.concatenate([*uids, edges[:, 0]]), "n": np.concatenate([*counts, np.zeros(len(edges), np.int64)]),
-                             "other": np.concatenate([*(np.full(len(x), -1, np.int64) for x in uids), edges[:, 1]])})
+        there += (qd @ part.T >= threshold * norm[:, None] * np.linalg.norm(part, axis=1)).sum(1)
+    there -= own >= 0
+    some = there > 0
+    return float((found[some] / there[some]).mean()) if some.any() else 1.0
+
+
+def _found(graph: Graph, raw: np.ndarray, q: np.ndarray, same: bool, threshold: float, recall: float, audits: int) -> np.ndarray:
+    """Bit matrix (query x place in the shard) of the links that the audited search finds."""
+    beam = 24
+    at = np.unique(np.linspace(0, len(q) - 1, min(audits, len(q))).astype(np.int64))
+    own = at if same else np.full(len(at), -1)
+    while beam < len(raw) and _audit(graph, raw, q[at], own, threshold, beam) < recall:
+        beam *= 2
+    bits = np.zeros((len(q), -(-len(raw) // 8)), np.uint8)
+    for s in range(0, len(q), BATCH):
+        a, b = _links(graph, raw, q[s:s + BATCH], threshold, beam)
+        hit = np.zeros((min(BATCH, len(q) - s), len(raw)), bool)
+        hit[a, b] = True
+        bits[s:s + BATCH] = np.packbits(hit, axis=1)
+    return bits
+
+
+def _read_graph(g) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    """(graph, vectors, uids, copies) of a staged shard."""
+    raw = np.frombuffer(g["vectors"], np.dtype(g["kind"])).reshape(-1, int(g["dim"]))
+    graph = object.__new__(Graph)
+    unit = raw.astype(np.float64)
+    graph.vecs = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    rows, links = np.frombuffer(g["rows"], np.int32).astype(np.int64), np.frombuffer(g["links"], np.int32)
+    graph.layers, at = [], 0
+    for n in np.frombuffer(g["sizes"], np.int64).tolist():
+        graph.layers.append(Layer(graph.vecs, rows[at:at + n], links[at * DEGREE:(at + n) * DEGREE].reshape(n, DEGREE)))
+        at += n
+    return graph, raw, np.frombuffer(g["uids"], np.int64), np.frombuffer(g["copies"], np.int64)
+
+
+def _search_pair(threshold: float, recall: float, audits: int):
+    """Links between two shards (or within one), each a query of the other: found from either side, counted for both."""
+
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("shard")
+        same = pair["lo"].iloc[0] == pair["hi"].iloc[0]
+        if len(pair) == 1 and not same:
+            return pd.DataFrame({"uid": [], "n": [], "other": []}, dtype=np.int64)
+        g1, raw1, uid1, copies1 = _read_graph(pair.iloc[0])
+        if same:
+            raw2, uid2, copies2 = raw1, uid1, copies1
+            there = back = _found(g1, raw1, raw1, True, threshold, recall, audits)
+        else:
+            g2, raw2, uid2, copies2 = _read_graph(pair.iloc[1])
+            there = _found(g2, raw2, raw1, False, threshold, recall, audits)
+            back = _found(g1, raw1, raw2, False, threshold, recall, audits)
+        uids, first = (uid1, 0) if same else (np.concatenate([uid1, uid2]), len(uid1))
+        low, counts = np.arange(len(uids)), np.zeros(len(uids))
+        for s in range(0, len(raw1), BATCH):
+            n = min(BATCH, len(raw1) - s)
+            hit = np.unpackbits(there[s:s + n], axis=1, count=len(raw2)).astype(bool)
+            hit |= np.unpackbits(back[:, s // 8:(s + n + 7) // 8], axis=1, count=n).T.astype(bool)
+            if same:
+                hit[np.arange(n), s + np.arange(n)] = False
+            x, y = np.nonzero(hit)
+            counts[s:s + n] += np.bincount(x, weights=copies2[y], minlength=n)
+            if not same:
+                counts[first:] += np.bincount(y, weights=copies1[s + x], minlength=len(raw2))
+            _unite(low, s + x, first + y)
+        at, moved = np.flatnonzero(counts), np.flatnonzero(low != np.arange(len(low)))
+        return pd.DataFrame({"uid": np.concatenate([uids[at], uids[moved]]),
+                             "n": np.concatenate([counts[at].astype(np.int64), np.zeros(len(moved), np.int64)]),
+                             "other": np.concatenate([np.full(len(at), -1, np.int64), uids[low[moved]]])})
     return run
 
 
@@ -319,35 +341,13 @@ def _vectors(kind: str):
     return scan
 
 
-def _query_blocks(n_shards: int, salts: int):
-    """Vectors packed 1,024 to a block, once for every shard."""
-
-    def scan(batches):
-        for b in batches:
-            dim = b.column("dim").to_numpy(zero_copy_only=False)
-            for d in np.unique(dim).tolist():
-                at = np.flatnonzero(dim == d)
-                for s in range(0, len(at), 1024):
-                    part = b.take(pa.array(at[s:s + 1024]))
-                    uid = part.column("uid").to_numpy(zero_copy_only=False)
-                    ids, vec = uid.tobytes(), b"".join(part.column("v").to_pylist())
-                    salt = int(uid[0] * 0x9E3779B1 & 0x7FFFFFFF) % salts
-                    n = n_shards
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([d] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([salt] * n, pa.int32()),
-                         pa.array([ids] * n, pa.binary()), pa.array([vec] * n, pa.binary())],
-                        names=["dim", "shard", "salt", "uids", "vectors"])
-    return scan
-
-
 def vector_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
-                  recall: float = 0.99, audits: int = 256, min_shards: int = 8, shard_rows: int = 50_000,
-                  task_queries: int = 65_536) -> DataFrame:
+                  recall: float = 0.99, audits: int = 256, min_shards: int = 8, shard_rows: int = 32_768) -> DataFrame:
     """(uid, id, n_links, component_id, kept), one row for each row of ``table``.
 
-    ``shard_rows`` bounds a shard's graph, ``task_queries`` the queries one task
-    takes to a shard; ``audits`` queries of each such task are compared with the
-    whole shard and ``recall`` is the share of their links that must be found.
+    ``shard_rows`` bounds a shard's graph and so the bits of a task, which takes two
+    shards and lets each query the other. Before, ``audits`` queries of each shard are
+    compared with the whole other one; ``recall`` is the share of its links that such a query must find on average.
     """
     kind = "<f8" if "double" in dict(table.dtypes)[vec_col] else "<f4"
     base = with_uid(table.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")))
@@ -356,17 +356,16 @@ def vector_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     classes = rows.filter("dim > 0").groupBy("dim", "v").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
     classes = stage(classes.withColumn("h", F.xxhash64("uid")), "hnsw-classes")
     n = classes.count()
-    shards, salts = max(min_shards, -(-n // shard_rows)), max(1, -(-n // task_queries))
+    shards = max(min_shards, -(-n // shard_rows))
     parts = classes.select("dim", F.lit(kind).alias("kind"), F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "uid", "copies", "v", "h")
     graphs = stage(parts.groupBy("dim", "shard").applyInPandas(
         _build_shard, "dim int, kind string, shard int, uids binary, copies binary, vectors binary, rows binary, links binary, "
         "sizes binary"), "hnsw-graphs")
-    graphs = graphs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = classes.select("uid", "dim", "v").mapInArrow(
-        _query_blocks(shards, salts), "dim int, shard int, salt int, uids binary, vectors binary")
-    key = ["dim", "shard", "salt"]
-    found = stage(graphs.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(
-        _search_shard(threshold, recall, audits), "uid bigint, n bigint, other bigint"), "hnsw-found")
+    # Each unordered pair of shards that both hold vectors is one task; a shard without a partner there has nothing to find.
+    met = (graphs.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+           .withColumns({"lo": F.least("shard", "with"), "hi": F.greatest("shard", "with")}))
+    found = stage(met.groupBy("dim", "lo", "hi").applyInPandas(
+        _search_pair(threshold, recall, audits), "uid bigint, n bigint, other bigint"), "hnsw-found")
     comp = connected_components(found.filter("other >= 0").select(F.col("uid").alias("a"), F.col("other").alias("b")), "hnsw-cc")
     linked = found.filter("other < 0").groupBy("uid").agg(F.sum("n").alias("links"))
     of_class = stage(classes.select("dim", "v", "uid", "copies").join(linked, "uid", "left")
