@@ -326,3 +326,25 @@ def label_names(spark, sf_dir):
     counts = used.groupBy("dimension", "code").agg(F.count(F.lit(1)).alias("n_labels"))
     return counts.join(broadcast_if_small(K.label_names(spark)), ["dimension", "code"], "left").select(
         "dimension", "code", "name", "n_labels")
+
+
+def _routing_runs_sql() -> str:
+    whole = _pivot_sql("b.answerer_llm_alias")
+    first = whole.replace("FROM events", "FROM events WHERE event_id // 5 % 2 = 0", 1)
+    return f"SELECT 1 AS run, * FROM ({first}) UNION ALL SELECT 2 AS run, * FROM ({whole})"
+
+
+@query("pipeline_routing", _routing_runs_sql())
+def pipeline_routing(spark, sf_dir):
+    """Routes from a response log's files, before and after the other half of the questions arrives as new files."""
+    from ..session import scratch_path
+    from ..sources.fixtures import judged_records
+    from ..sources.readers import RECORD_DDL
+    from .from_files import tables_from_files
+    path = scratch_path(spark, "response-log") + ".json"
+    recs = judged_records(spark, sf_dir).select(*[c.split()[0] for c in RECORD_DDL.split(", ")])
+    runs = []
+    for run in (1, 2):
+        recs.filter(F.floor(F.col("id") / 5) % 2 == run - 1).write.mode("append").json(path)
+        runs.append(tables_from_files(spark, path)["routing"].withColumn("run", F.lit(run)))
+    return runs[0].unionByName(runs[1])

@@ -354,3 +354,22 @@ SELECT dimension, value, count(*) AS n FROM (
 def dist_all(spark, sf_dir):
     return P.all_distributions(judged_records(spark, sf_dir), [A, "source_id"],
                                ["label_task", "label_domain", "label_level"])
+
+
+@query("approx_profile", with_scored("""
+SELECT answerer_llm_alias, count(*) AS n_rows, round(avg(quality), 9) AS mean, min(quality) AS min, max(quality) AS max,
+       TRUE AS ranks_ok, TRUE AS distinct_ok
+FROM scored GROUP BY 1"""))
+def approx_profile(spark, sf_dir):
+    """Profile merged from two batches' sketches, its percentiles and distinct counts held against the exact ones."""
+    from ..operators import sketches as SK
+    from ..session import scratch_path
+    path, scored = scratch_path(spark, "sketches"), scored_slim(spark, sf_dir)
+    for batch in (0, 1, 1):  # the second batch is written again
+        SK.append_batch(scored.filter(F.col("id") % 2 == batch), path, str(batch), [A], "quality", G)
+    prof = SK.merged_profile(spark, path, [A])
+    errors = SK.rank_errors(scored, prof, [A], "quality").select(A, F.greatest(*SK.PCT_NAMES).alias("err"))
+    exact = scored.groupBy(A).agg(F.count_distinct(G).alias("exact"))
+    out = prof.join(errors, A).join(exact, A)
+    return out.select(A, "n_rows", F.round("mean", 9).alias("mean"), "min", "max", (F.col("err") <= 0.02).alias("ranks_ok"),
+                      (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.06 * F.col("exact")).alias("distinct_ok"))
