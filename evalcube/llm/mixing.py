@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_small
 from .common import running_sum, stage, with_uid
 from .shingles import buffers, words_of
 
@@ -161,10 +162,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn = ranges.repartition("src", "shard").mapInArrow(
         _slots(block, seed), "src bigint, block bigint, shard bigint, slot bigint, pass bigint, take bigint")
 
-    known = plan.select("src", F.col("source").alias("s"), F.col("words").alias("source_size"), "target")
-    rows = sized.join(known, sized["source"].eqNullSafe(known["s"])).drop("s")
-    place = running_sum(rows.filter("size > 0").select("uid", "src", "id", "size"), ["src", "id", "uid"], "size", "g", "mix-place")
-    place = place.join(place.groupBy("src").agg(F.min("g").alias("g0")), "src").withColumn("start", F.col("g") - F.col("g0"))
+    # a source's words start where those of the sources before it end: no document is moved to find that out
+    starts = running_sum(plan.select("src", "source", "words", "target"), ["src"], "words", "g0", "mix-starts")
+    known = stage(starts.select("src", F.col("source").alias("s"), F.col("words").alias("source_size"), "target", "g0"), "mix-known")
+    rows = sized.join(broadcast_if_small(known), sized["source"].eqNullSafe(known["s"])).drop("s")
+    place = running_sum(rows.filter("size > 0").select("uid", "src", "id", "size", "g0"), ["src", "id", "uid"], "size", "g", "mix-place")
+    place = place.withColumn("start", F.col("g") - F.col("g0"))
     cells = place.select("uid", "src", "start", "size", F.explode(F.expr(
         f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block"))
     lo, hi = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
