@@ -159,7 +159,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     carried = ", ".join(f"{c} bigint" for c in _CARRIED)
     ranges = plan.filter("slots > 0").select("src", *_CARRIED).mapInArrow(
         _shards(max(1, -(-slots // shard_slots)), seed), f"src bigint, shard bigint, first bigint, count bigint, {carried}")
-    drawn = ranges.repartition("src", "shard").mapInArrow(
+    # few small rows yield all slots: a number of tasks keeps them from being joined into one
+    drawn = ranges.repartition(max(1, -(-slots // (8 * shard_slots))), "src", "shard").mapInArrow(
         _slots(block, seed), "src bigint, block bigint, shard bigint, slot bigint, pass bigint, take bigint")
 
     # a source's words start where those of the sources before it end: no document is moved to find that out
