@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empty and repeated rows, ties and extra columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -205,6 +206,52 @@ def test_loser_tree():
         assert [runs[r][i] for r, i in warc.LoserTree(runs)] == sorted(x for r in runs for x in r)
 
 
+def test_loser_tree_takes_runs_on_the_way():
+    rng = random.Random(3)
+    for k in (0, 1, 5, 40):
+        blocks = sorted(b for b in (sorted(rng.choices(range(50), k=rng.randrange(1, 9))) for _ in range(k)))
+        assert [b[i] for b, i in warc._merged((b, b) for b in blocks)] == sorted(x for b in blocks for x in b)
+
+
+def test_warc_captures_are_fetched_by_their_place(spark, tmp_path):
+    rng = random.Random(8)
+    big = "".join(rng.choices("abcdefgh", k=1 << 20)) * 34
+    html = {i: "".join(rng.choices("xyé\r\n", k=rng.randrange(6_000))) for i in range(300)} | {7: None, 8: "", 9: big, 10: big, 11: "same", 12: "same"}
+    df = stage(spark.createDataFrame([(i, f"http://h{i % 4}.org/{i % 9}", h, "clash", 1) for i, h in html.items()],
+                                     "page_id bigint, url string, html string, payload string, record string").repartition(3), "test-captures")
+    path = str(tmp_path / "archive")
+    warc.write_archive(df, path, file_bytes=20_000)
+    index = warc.read_index(spark, path, task_rows=40)
+    rows = index.orderBy("place").collect()
+    assert len({r.run for r in rows}) > 10 and len({r.place >> 33 for r in rows}) > 3
+    assert [(r.urlkey, r.time, r.id, r.uid) for r in rows] == sorted((r.urlkey, r.time, r.id, r.uid) for r in rows)
+    got = {r.id: r for r in warc.read_captures(index, path).collect()}
+    assert set(got) == set(html)
+    for i, h in html.items():
+        again = {9: 10, 11: 12, 7: 8}.get(i)
+        assert got[i].refers_to == again and got[i].payload_bytes == len((h or "").encode())
+        assert got[i].payload == (None if again else (h or "").encode())
+    whole = {}  # any gzip reader inflates a file's members one after the other, and one record's bytes alone
+    for r in rows:
+        if r.run not in whole:
+            with open(r.run.removeprefix("file:"), "rb") as f:
+                whole[r.run] = f.read()
+        alone = gzip.decompress(whole[r.run][r.offset:r.offset + r.length])
+        assert alone.startswith(b"WARC/1.1\r\n") and alone.endswith(b"\r\n\r\n")
+    for raw in whole.values():
+        assert gzip.decompress(raw).count(b"WARC/1.1\r\n") == sum(r.run in whole and whole[r.run] is raw for r in rows)
+
+
+def test_warc_reads_several_records_of_a_member():
+    answer = b"HTTP/1.1 200 OK\r\nContent-Length: 6\r\n\r\nbody!!"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % len(answer) + answer + b"\r\n\r\n"
+    one = gzip.compress(record)
+    assert [(p, at, n) for _, p, at, n in warc.read_records(one + one)] == [(b"body!!", 0, len(one)), (b"body!!", len(one), len(one))]
+    assert [(p, at) for _, p, at, _ in warc.read_records(gzip.compress(record + record))] == [(b"body!!", None)] * 2
+    with pytest.raises(ValueError):
+        list(warc.read_records(one[:-3]))
+
+
 def test_chat_windows(spark):
     rng = random.Random(4)
     chats = [(c, None if c == 3 and t == 5 else t, rng.choice(["user", "assistant", "system", None]),
