@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.criteria_parse import backfill, parse_criteria
+from ..functions.criteria_parse import MISSING_REASON, backfill, failure_reason, parse_criteria
 from ..functions.judge_parse import judge_text, parse_total
 from ..functions.joins import broadcast_if_small
 from .clean import ALIAS_COL
@@ -51,10 +51,13 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- criteria
-def criteria_scores(replies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per (record, criterion): parsed reply plus back-filled missing criteria; ``keep`` names further columns."""
+def criteria_scores(replies: DataFrame, keep: tuple[str, ...] = (), reasons: bool = False) -> DataFrame:
+    """One row per (record, criterion): parsed reply plus back-filled missing criteria; ``keep`` names further columns.
+
+    With ``reasons`` the feedback of a missing criterion says what of the reply could not be read.
+    """
     names = F.transform(criteria_of(F.col("template")), lambda c: c["criterion"])
-    items = backfill(parse_criteria(F.col("reply")), names)
+    items = backfill(parse_criteria(F.col("reply")), names, failure_reason(F.col("reply")) if reasons else MISSING_REASON)
     return replies.select("id", ALIAS_COL, "template", *keep, F.inline(items))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.criteria_parse import MISSING_REASON, single_score
+from ..functions.criteria_parse import MISSING_REASON, NO_DOCUMENT, NO_OBJECT, single_score
 from ..operators import prompts as PR
 from ..operators import scoring as S
 from ..operators.clean import ALIAS_COL, GROUP_COL, primary_task
@@ -117,6 +117,17 @@ def criteria_backfill(spark, sf_dir):
         "id", "template", "criterion", "score", "feedback")
 
 
+@query("criteria_failures", crit_sql(f"""
+SELECT id, template, criterion, -1.0::DOUBLE AS score,
+       CASE WHEN id % 5 = 0 THEN '{NO_OBJECT}{{score 3}}' WHEN id % 3 = 0 THEN '{MISSING_REASON}' ELSE '{NO_DOCUMENT}' END AS feedback
+FROM crit WHERE omitted"""))
+def criteria_failures(spark, sf_dir):
+    # every fifth reply ends in an object that can't be read
+    cut = F.when(F.col("id") % 5 == 0, F.concat("reply", F.lit("\n{score 3}"))).otherwise(F.col("reply"))
+    scores = S.criteria_scores(_replies(spark, sf_dir).withColumn("reply", cut), reasons=True)
+    return scores.filter("score = -1").select("id", "template", "criterion", "score", "feedback")
+
+
 @query("criteria_means", crit_sql("""
 SELECT answerer_llm_alias, template, criterion, round(avg(score), 9) AS mean_score, count(*) AS n
 FROM cs GROUP BY 1, 2, 3"""))
