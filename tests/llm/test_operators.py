@@ -182,6 +182,13 @@ def test_permutation():
         assert sorted(mixing.permute(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
+def test_language_calibration_draws_rows_not_texts(spark):
+    rows = spark.range(8_000).select(F.col("id").alias("uid"), F.when(F.col("id") % 2 == 0, "copy").otherwise(F.col("id").cast("string")).alias("text"))
+    got = Counter(r.text == "copy" for r in language_id._drawn(rows, 8_000, 1_000).collect())
+    assert 420 < got[True] < 580 and 420 < got[False] < 580
+    assert language_id._drawn(rows, 8_000, 9_000).count() == 8_000 and language_id._drawn(rows.limit(0), 0, 10).count() == 0
+
+
 def test_warc(spark):
     html = [None, "", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n", "é" * 500]
     pages = [(i, ["http://www.b.org/x?b=1&a=2", None, "https://a.org/ y\n"][i % 3], html[i % 4], "extra") for i in range(40)]
