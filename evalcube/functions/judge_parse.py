@@ -26,15 +26,22 @@ _JSON_OPTS = {
 }
 
 
+# Fixed values of the data contract: what is stripped around a reply, and which backslashes are doubled. They
+# decide which replies count as repaired.
+OUTER_SPACE = r"(?U)^\s+|\s+$"
+FENCE = r"(?i)^```json\s*|\s*```$"
+STRAY_BACKSLASH = r'(?<!\\)\\(?![\\/"bfnrtu])'
+
+
 def strip_fence(text: Column) -> Column:
     """Trim, then drop a leading ```json and a trailing ``` (case-insensitive)."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(trimmed, r"(?i)^```json\s*|\s*```$", "")
+    trimmed = F.regexp_replace(text, OUTER_SPACE, "")
+    return F.regexp_replace(trimmed, FENCE, "")
 
 
 def escape_repair(text: Column) -> Column:
     """Double every backslash that does not start a legal JSON escape."""
-    return F.regexp_replace(text, r'(?<!\\)\\(?![\\/"bfnrtu])', r"\\\\")
+    return F.regexp_replace(text, STRAY_BACKSLASH, r"\\\\")
 
 
 def _wrapped(text: Column) -> Column:

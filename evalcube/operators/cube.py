@@ -12,7 +12,7 @@ TASKS = [f"T{i}" for i in range(1, 13)]
 DOMAINS = [f"D{i}" for i in range(1, 11)]
 LEVELS = [f"L{i}" for i in range(1, 4)]
 
-# Short names of the codes (label descriptions are display text only).
+# Fixed values too: short names of the codes (label descriptions are display text only).
 TASK_NAMES = ["Translation", "Summarization", "Math", "Code", "Text editing",
               "Image generation", "Creative writing", "Planning/reasoning",
               "Classification", "Factoid QA", "Chat", "Unknown"]

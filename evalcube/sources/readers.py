@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.literals import from_literal
 
+# Fixed values of the data contract: column names, and the old names of response logs.
 LABEL_COLUMNS = ["label_task", "label_level", "label_domain"]
 
-# Old column names of response logs and their current names.
 LEGACY_NAMES = {"task": "label_task", "level": "label_level", "domain": "label_domain",
                 "model_name": "answerer_llm_alias"}
 
