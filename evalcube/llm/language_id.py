@@ -10,9 +10,9 @@ of a gram's two middle characters, so a shard holds all that its grams back off
 to (orders 1 and 2 are in each). A worker holds one shard at a time.
 
 A text gets the language of the lowest cross-entropy for each character. The
-score is the posterior of that language at a temperature fitted on at most
-``calibration`` learning texts (chosen by hash); the same texts give each
-language the cross-entropy above which ``rejected`` is true.
+score is the posterior of that language at a temperature fitted on all learning
+texts; the same texts give each language the cross-entropy above which
+``rejected`` is true. Both come from sums of whole numbers, so reruns agree.
 
 Defined cases: null text and text without a letter is ``und`` with score 0, and
 so is all text if nothing was learned; ties go to the first language by code
@@ -263,10 +263,45 @@ def _drawn(rows: DataFrame, n: int, about: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64("uid", F.lit(5)), F.lit(_HASHES)) < min(_HASHES, -(-_HASHES * about // max(1, n))))
 
 
-def train(rows: DataFrame, shard_rows: int, calibration: int):
+_HEATS = (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
+#: Fixed point of the calibration's sums: of losses, and of cross-entropies (a batch's squares fit 63 bits).
+_LOSS, _CE = 1 << 30, 1 << 16
+
+
+def _calibrated(rows: DataFrame, shards: list, langs: list[str]) -> tuple[float, list[float]]:
+    """(heat, limits) from all ``rows`` (text, lang): summed in the tasks, a row for each heat and language comes back."""
+    def score(batches):
+        place = {x: k for k, x in enumerate(langs)}
+        for b in batches:
+            ce, chars, letters = entropies(shards, len(langs), b.column(0).to_pylist())
+            true = np.array([place[x] for x in b.column(1).to_pylist()], np.int64)
+            ce, chars, true = ce[letters > 0], chars[letters > 0], true[letters > 0]
+            out = []
+            for i, h in enumerate(_HEATS):
+                loss = -np.log(np.maximum(posterior(ce, chars, h)[np.arange(len(true)), true], 1e-9))
+                out.append((-1 - i, len(true), int(np.rint(loss * _LOSS).astype(np.int64).sum()), 0))
+            for k in range(len(langs)):
+                mine = np.rint(ce[(true == k) & (ce.argmin(1) == k), k] * _CE).astype(np.int64)
+                out.append((k, len(mine), int(mine.sum()), int((mine * mine).sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["k", "n", "s", "q"])
+
+    exact = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    sums = {r["k"]: (int(r["n"]), int(r["s"]), int(r["q"])) for r in rows.select("text", "lang").mapInArrow(
+        score, "k bigint, n bigint, s bigint, q bigint").groupBy("k").agg(exact("n"), exact("s"), exact("q")).collect()}
+    heat, limits = 1.0, [np.inf] * len(langs)
+    if sums.get(-1, (0,))[0]:
+        heat = min(enumerate(_HEATS), key=lambda x: sums[-1 - x[0]][1])[1]
+    for k in range(len(langs)):
+        n, s, q = sums.get(k, (0, 0, 0))
+        if n >= 20:
+            limits[k] = (s / n + 6 * (max(0, n * q - s * s) ** 0.5 / n)) / _CE + 1 / _CE
+    return heat, limits
+
+
+def train(rows: DataFrame, shard_rows: int, calibration: int | None = None):
     """(languages, shards of the model, heat, limits) from (uid, text, lang) rows without null languages.
 
-    The texts that calibrate are drawn by row number, about ``calibration`` of them: copies of a text count like any rows.
+    All of them calibrate; a number draws about so many by row number: copies of a text count like any rows.
     """
     counts = stage(rows.select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", F.col("gram").alias("key"))
                    .agg(F.sum("n").alias("n")), "lid-counts")
@@ -274,34 +309,12 @@ def train(rows: DataFrame, shard_rows: int, calibration: int):
     if not langs:
         return [], [], 1.0, []
     shards = _shards(counts, langs, shard_rows)
-    n = rows.count()
-    some = _drawn(rows, n, calibration)
-
-    def score(batches):
-        for b in batches:
-            ce, chars, letters = entropies(shards, len(langs), b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array(list(ce), pa.list_(pa.float64())), pa.array(chars.astype(np.int64)), pa.array(letters.astype(np.int64))],
-                names=["lang", "ce", "chars", "letters"])
-
-    got = some.select("text", "lang").mapInArrow(score, "lang string, ce array<double>, chars bigint, letters bigint").filter(
-        "letters > 0").toPandas()
-    heat, limits = 1.0, [np.inf] * len(langs)
-    if len(got):
-        ce, chars = np.stack(got["ce"].to_numpy()), got["chars"].to_numpy()
-        place = {x: k for k, x in enumerate(langs)}
-        true = np.array([place[x] for x in got["lang"]])
-        loss = {h: -np.log(np.maximum(posterior(ce, chars, h)[np.arange(len(true)), true], 1e-9)).mean() for h in (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)}
-        heat = min(loss, key=loss.get)
-        for k in range(len(langs)):
-            mine = ce[(true == k) & (ce.argmin(1) == k), k]
-            if len(mine) >= 20:
-                limits[k] = float(mine.mean() + 6 * mine.std())
+    heat, limits = _calibrated(rows if calibration is None else _drawn(rows, rows.count(), calibration), shards, langs)
     return langs, shards, heat, limits
 
 
 def identify(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             shard_rows: int = 4_000_000, calibration: int = 2_000) -> DataFrame:
+             shard_rows: int = 4_000_000, calibration: int | None = None) -> DataFrame:
     """(uid, id, lang_pred, score, cross_entropy, rejected), one row for each row of ``docs``.
 
     ``learn`` says which rows may teach; of those the text and non-null language are used.

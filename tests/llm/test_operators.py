@@ -306,6 +306,14 @@ def test_language_id_held_out(spark, sf_dir):
     assert {r.lang_pred for r in language_id.identify(odd, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_limits_come_from_all_learning_texts(spark):
+    # 25 texts of a rare language: a sample of 2,000 of these rows holds about 12 of them, too few for a limit
+    rows = [(i, "r" if i % 161 == 0 else "c", "xyz zyx yzx" if i % 161 == 0 else "abc cab bca") for i in range(4_025)]
+    df = spark.createDataFrame([(-1, None, "xqxqx zwzwz yvyvy"), (-2, None, "xyz zyx yzx")] + rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in language_id.identify(df, F.lit(True)).filter("doc_id < 0").collect()}
+    assert got[-1].lang_pred == got[-2].lang_pred == "r" and got[-1].rejected and not got[-2].rejected
+
+
 def test_language_id_learns_rare_languages_whatever_the_shards(spark):
     rng = random.Random(8)
     names = ["aa", "bb", "rare", "tiny"]
