@@ -67,20 +67,19 @@ def rubric(spark: SparkSession) -> DataFrame:
 
 
 def template_of(task: Column) -> Column:
-    """Template key of a task code (NULL when unrouted), as a CASE expression."""
-    expr = None
-    for t, key in TASK_TEMPLATE:
-        expr = F.when(task == t, F.lit(key)) if expr is None else expr.when(task == t, F.lit(key))
-    return expr
+    """Template key of a task code (NULL when unrouted), looked up in a constant map.
+
+    The code is read once: as a CASE every branch would hold ``task`` anew, and so would a
+    filter on the template that Catalyst moves to the scan, before the records are spread.
+    """
+    return F.create_map(*[F.lit(x) for pair in TASK_TEMPLATE for x in pair])[task]
 
 
 def criteria_of(template: Column) -> Column:
-    """Array<struct<criterion, weight>> of the template's rubric (constant per template)."""
-    expr = None
-    for key, (_, crit) in RUBRICS.items():
-        arr = F.array(*[F.struct(F.lit(n).alias("criterion"), F.lit(w).alias("weight")) for n, w in crit])
-        expr = F.when(template == key, arr) if expr is None else expr.when(template == key, arr)
-    return expr
+    """Array<struct<criterion, weight>> of the template's rubric (constant per template, NULL without one)."""
+    of = {key: F.array(*[F.struct(F.lit(n).alias("criterion"), F.lit(w).alias("weight")) for n, w in crit])
+          for key, (_, crit) in RUBRICS.items()}
+    return F.create_map(*[x for key, crit in of.items() for x in (F.lit(key), crit)])[template]
 
 
 def render_criteria(criteria: Column, max_score: float = 10.0) -> Column:

@@ -19,13 +19,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` on ``key`` over all cores when its scan has fewer splits.
+#: Rows of a task that feeds heavy per-row work or writes wide rows.
+SPREAD_ROWS = 100_000
 
-    A small table stored as one row group is read by a single task; rows that
-    feed heavy per-row work (JSON parsing of every record) are spread first.
-    A scan with a split for each core passes unchanged: only the layout differs,
-    the rows are the same either way.
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """``df`` dealt out evenly over all cores, at most about ``rows`` rows to a partition.
+
+    A scan's splits are cut by bytes of narrow, compressed columns and follow row
+    groups, so one may hold nearly all rows; what is made of a row (JSON texts,
+    prompts) is many times wider. Their number follows the count of the rows (read
+    from the files' footers), so a task's work doesn't grow with the table. Rows are
+    dealt in turn, so a repeated key fills no partition: only the layout differs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(max(cores, -(-df.count() // rows)))
