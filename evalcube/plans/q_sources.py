@@ -45,7 +45,7 @@ def scan_json_document(spark, sf_dir):
     one = F.replace(F.to_json(F.struct(*recs.columns)), F.lit(',"'), F.lit(',\n  "'))
     arrays = recs.groupBy(F.floor(F.col("id") / 1000).alias("doc")).agg(
         F.concat(F.lit("[\n "), F.array_join(F.collect_list(one), ",\n "), F.lit("\n]")).alias("value"))
-    arrays.repartition("doc").write.partitionBy("doc").text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file for each document, all in one folder
     return RD.read_response_log(spark, path).select("id", *RD.LABEL_COLUMNS, A, "status_code")
 
 

@@ -87,6 +87,12 @@ def is_json_document(spark: SparkSession, path: str) -> bool:
     return bool(first) and (first[0]["v"].startswith("[") or first[0]["v"] == "{")
 
 
+def _text_of(v: Column) -> Column:
+    """Text of a variant: a string as it is, anything else as JSON."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.variant_get(v, "$", "string")).when(
+        ~F.is_variant_null(v), F.to_json(v))
+
+
 def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL, document: bool | None = None,
                       bad: str = "fail") -> DataFrame:
     """JSON response log (label lists as JSON arrays or list-literal text).
@@ -103,9 +109,14 @@ def read_json_records(spark: SparkSession, path: str, ddl: str = RECORD_DDL, doc
         document = is_json_document(spark, path)
     names = [f.name for f in T._parse_datatype_string(ddl).fields]
     old = [o for o, n in LEGACY_NAMES.items() if n in names]
-    both = ", ".join([ddl, *(f"{o} STRING" for o in old), *([f"{CORRUPT} STRING"] if bad == "keep" else [])])
+    fields = {f.name: f.dataType.simpleString() for f in T._parse_datatype_string(ddl).fields} | {o: "string" for o in old}
+    # A list read as text out of a document is fetched from its file again, by its place; a variant is read in passing.
+    lists = [c for c in fields if LEGACY_NAMES.get(c, c) in LABEL_COLUMNS and fields[c] == "string"] if document else []
+    fields |= {c: "variant" for c in lists} | ({CORRUPT: "string"} if bad == "keep" else {})
+    both = ", ".join(f"`{c}` {kind}" for c, kind in fields.items())
     df = (spark.read.schema(both).option("multiLine", document).option("mode", "PERMISSIVE" if bad == "keep" else "FAILFAST")
           .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    df = df.withColumns({c: _text_of(F.col(c)) for c in lists})
     for o in old:
         df = df.withColumn(LEGACY_NAMES[o], F.coalesce(LEGACY_NAMES[o], o)).drop(o)
     return _with_labels(df)
