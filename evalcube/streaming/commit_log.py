@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import delete_folder
+from ..sources.tables import SPREAD_ROWS
 
 _COMMIT = "run STRING, batch BIGINT, part STRING, n_rows BIGINT, low BIGINT, high BIGINT"
 
@@ -79,10 +80,16 @@ class CommitLog:
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def unseen(self, rows: DataFrame) -> DataFrame:
-        """``rows`` without those whose key is committed, one row for each key (of several the least by hash)."""
+        """``rows`` without those whose key is committed, one row for each key (of several the least by hash).
+
+        Rows are partitioned by their number: a stream's batch is whatever has arrived, and no
+        adaptive plan sizes its shuffles.
+        """
+        span = rows.agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(F.lit(1)).alias("n")).first()
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(max(least, -(-span["n"] // SPREAD_ROWS)), self.key)
         one = (rows.groupBy(self.key).agg(F.min(F.struct(F.xxhash64(*rows.columns).alias("h"), F.struct(*rows.columns).alias("r"))).alias("m"))
-               .select("m.r.*"))
-        span = rows.agg(F.min(self.key).alias("low"), F.max(self.key).alias("high")).first()
+               .select(self.key, *(f"m.r.`{c}`" for c in rows.columns if c != self.key)))  # the key as grouped: it keeps its partitions
         if span["low"] is None:
             return one
         kind = rows.schema[self.key]
