@@ -8,6 +8,8 @@
    other's graph. A query's beam is widened while all of it lies above the threshold
    (there may be more), and the beam of all queries is doubled until an audit of some
    of them against every vector of the shard finds the wanted share of each one's links.
+   A beam costs with its square, so it stops at WIDEST: queries that need more, as those
+   in a cluster of many links do, are compared with every vector of the shard.
 4. Links are verified by cosine in double precision. What either side finds is a link
    of both vectors; a task holds its links as a bit matrix.
 5. Each task sends on counts and, for each vector, the least of those that its links
@@ -33,6 +35,8 @@ from .common import connected_components, stage, with_uid
 #: Links kept by a point on each layer, and the beam while building.
 DEGREE, BUILD_BEAM = 24, 48
 BATCH = 512
+#: The widest beam; a query that needs a wider one is compared with all vectors of the shard.
+WIDEST = 192
 
 
 def _levels(keys: np.ndarray) -> np.ndarray:
@@ -61,7 +65,7 @@ class Layer:
         seen = np.zeros((n, limit), bool)
         seen[np.arange(n), entry] = True
         live = np.arange(n)
-        width = 4  # points of a beam opened at a time
+        width = max(4, beam // 12)  # points of a beam opened at a time
         while len(live):
             open_sims = np.where(closed[live] | (ids[live] < 0), -np.inf, sims[live])
             k = min(width, beam)
@@ -204,25 +208,34 @@ def _unite(low: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             low[:] = low[low]
 
 
-def _links(graph: Graph, raw: np.ndarray, q: np.ndarray, threshold: float, beam: int):
-    """(query, place) pairs of at least ``threshold``; queries whose beam is full of links get a wider one."""
+def _links(graph: Graph, raw: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> np.ndarray:
+    """Matrix (query x place) of the links of at least ``threshold``; queries whose beam is full of links get a wider one."""
     qd = q.astype(np.float64)
     unit = (qd / np.linalg.norm(qd, axis=1, keepdims=True)).astype(np.float32)
-    todo, out = np.arange(len(q)), []
-    while len(todo):
+    out = np.zeros((len(q), len(raw)), bool)
+    near = max(1e-4, raw.shape[1] * 1.2e-7)  # single precision tells similarities further from the threshold
+
+    def take(who: np.ndarray, r: np.ndarray, c: np.ndarray, sims: np.ndarray) -> None:
+        out[who[r], c] = True
+        doubt = np.flatnonzero(sims < threshold + near)
+        for s in range(0, len(doubt), 65_536):
+            i, j = who[r[doubt[s:s + 65_536]]], c[doubt[s:s + 65_536]]
+            va, vb = qd[i], raw[j].astype(np.float64)
+            out[i, j] = np.einsum("ij,ij->i", va, vb) / (np.linalg.norm(va, axis=1) * np.linalg.norm(vb, axis=1)) >= threshold
+
+    todo = np.arange(len(q))
+    while len(todo) and beam <= WIDEST:
         ids, sims = graph.near(unit[todo], beam)
-        hit = (sims >= threshold - 1e-4) & (ids >= 0)
+        hit = (sims >= threshold - near) & (ids >= 0)
         full = hit.all(1) & (ids.shape[1] < len(raw))
         r, c = np.nonzero(hit & ~full[:, None])
-        out.append((todo[r], ids[r, c]))
+        take(todo, r, ids[r, c], sims[r, c])
         todo, beam = todo[full], 2 * beam
-    a = np.concatenate([x for x, _ in out])
-    b = np.concatenate([y for _, y in out])
-    keep = np.zeros(len(a), bool)
-    for s in range(0, len(a), 65_536):
-        va, vb = qd[a[s:s + 65_536]], raw[b[s:s + 65_536]].astype(np.float64)
-        keep[s:s + 65_536] = np.einsum("ij,ij->i", va, vb) / (np.linalg.norm(va, axis=1) * np.linalg.norm(vb, axis=1)) >= threshold
-    return a[keep], b[keep]
+    for s in range(0, len(todo), BATCH):
+        sims = unit[todo[s:s + BATCH]] @ graph.vecs.T
+        r, c = np.nonzero(sims >= threshold - near)
+        take(todo[s:s + BATCH], r, c, sims[r, c])
+    return out
 
 
 def _audit(graph: Graph, raw: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float, beam: int) -> float:
@@ -230,8 +243,10 @@ def _audit(graph: Graph, raw: np.ndarray, q: np.ndarray, own: np.ndarray, thresh
 
     ``own`` is a query's place in the shard (-1: it isn't there): a vector is no link of its own.
     """
-    a, b = _links(graph, raw, q, threshold, beam)
-    found = np.bincount(a[b != own[a]], minlength=len(q))
+    hit = _links(graph, raw, q, threshold, beam)
+    here = np.flatnonzero(own >= 0)
+    hit[here, own[here]] = False
+    found = hit.sum(1)
     qd, there = q.astype(np.float64), np.zeros(len(q), np.int64)
     norm = np.linalg.norm(qd, axis=1)
     for s in range(0, len(raw), 8192):
@@ -247,14 +262,11 @@ def _found(graph: Graph, raw: np.ndarray, q: np.ndarray, same: bool, threshold:
     beam = 24
     at = np.unique(np.linspace(0, len(q) - 1, min(audits, len(q))).astype(np.int64))
     own = at if same else np.full(len(at), -1)
-    while beam < len(raw) and _audit(graph, raw, q[at], own, threshold, beam) < recall:
+    while beam <= WIDEST and beam < len(raw) and _audit(graph, raw, q[at], own, threshold, beam) < recall:
         beam *= 2
     bits = np.zeros((len(q), -(-len(raw) // 8)), np.uint8)
     for s in range(0, len(q), BATCH):
-        a, b = _links(graph, raw, q[s:s + BATCH], threshold, beam)
-        hit = np.zeros((min(BATCH, len(q) - s), len(raw)), bool)
-        hit[a, b] = True
-        bits[s:s + BATCH] = np.packbits(hit, axis=1)
+        bits[s:s + BATCH] = np.packbits(_links(graph, raw, q[s:s + BATCH], threshold, beam), axis=1)
     return bits
 
 

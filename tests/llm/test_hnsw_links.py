@@ -53,3 +53,22 @@ def test_small_shards_give_the_same(spark):
     for shards, rows in ((1, 1_000), (3, 1_000), (1, 9)):
         out = hnsw.vector_groups(df, min_shards=shards, shard_rows=rows).filter(F.col("vec_id").isNotNull()).collect()
         assert {r.vec_id: (r.n_links, r.component_id) for r in out} == want
+
+
+def test_beams_stay_bounded_in_a_large_cluster(monkeypatch):
+    """Queries with more links than the widest beam are compared with the whole shard; no beam grows with the cluster."""
+    rng = np.random.default_rng(4)
+    vecs = np.concatenate([rng.normal(size=64) + rng.normal(size=(700, 64)) * 0.1, rng.normal(size=(500, 64))])
+    vecs = vecs[rng.permutation(len(vecs))].astype(np.float32)
+    graph, asked, search = hnsw.Graph(vecs, np.arange(len(vecs))), [], hnsw.Layer.search
+
+    def counted(self, q, entry, beam, limit):
+        asked.append(beam)
+        return search(self, q, entry, beam, limit)
+    monkeypatch.setattr(hnsw.Layer, "search", counted)
+    bits = hnsw._found(graph, vecs, vecs, True, 0.95, 0.99, 256)
+    unit = vecs.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    assert max(asked) < 200 and link.sum(1).max() > 600
+    assert (np.unpackbits(bits, axis=1, count=len(vecs)).astype(bool) == link).all()
