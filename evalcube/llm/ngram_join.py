@@ -96,6 +96,7 @@ def _explode_tokens_of(uid_name: str, tokens_name: str):
             n = np.array([len(p) // 8 for p in pre], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.frombuffer(b"".join(pre), np.int64)), pa.array(np.repeat(uid, n))], names=["h", "uid"])
+        give_back_memory()
     return scan
 
 
