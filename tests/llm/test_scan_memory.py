@@ -1,8 +1,10 @@
-"""Scans hold little at once: hash tables as large as the texts ask, buffers of 64 kB."""
+"""Scans hold little at once: hash tables as large as the texts ask, buffers of 64 kB, a string twice at most for each part."""
 
 import numpy as np
+import pyarrow as pa
 
-from evalcube.llm import bytescan, shingles
+from evalcube.llm import bytescan, shingles, suffix_dedup
+from evalcube.llm.common import list_array
 
 
 def test_tables_and_buffers_follow_the_texts(monkeypatch):
@@ -14,3 +16,23 @@ def test_tables_and_buffers_follow_the_texts(monkeypatch):
     assert (bytescan.WindowHash(long).at(np.arange(27), 27) == small).all()
     assert max(sum(map(len, part)) for _, part in shingles.buffers([text] * 2000)) < 1 << 17
     assert [t for _, part in shingles.buffers([text] * 2000) for t in part] == [text] * 2000
+
+
+def test_strings_of_a_batch_by_part():
+    rng = np.random.default_rng(3)
+    shared = bytes(rng.integers(97, 123, 1500, dtype=np.uint8))
+    texts = [shared, bytes(rng.integers(97, 123, 900, dtype=np.uint8)), shared, shared, shared]
+    parts = [5, 2, 5, 5, 2]
+    at = [np.unique(suffix_dedup.anchors(np.frombuffer(t, np.uint8), 256)).astype(np.int32) for t in texts]
+    n = [len(a) for a in at]
+    every = [list_array(np.full(sum(n), -1, np.int64), n, pa.int64()) for _ in range(4)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(parts, pa.int32()), pa.array(texts, pa.binary()), list_array(np.concatenate(at), n, pa.int32()), *every],
+        names=["part", "raw", "at", "m0", "m1", "m2", "m3"])
+    out = list(suffix_dedup._open_strings(400, 256)(iter([batch.slice(0, 0), batch])))
+    assert len(out) == 1 and out[0].schema.names == ["part", "h"]
+    got = {}
+    for p, h in zip(out[0].column(0).to_pylist(), out[0].column(1).to_pylist()):
+        got[p, h] = got.get((p, h), 0) + 1
+    assert sorted(got.values()) == [1] * (1101 + 501) + [2] * 1101
+    assert {p for (p, _), k in got.items() if k == 2} == {5}
