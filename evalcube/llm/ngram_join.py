@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import mix
-from .common import connected_components, give_back_memory, release, stage, with_uid
+from .common import connected_components, give_back_memory, let_go, release, stage, with_uid
 from .shingles import buffers, shingle_sets
 
 U = np.uint64
@@ -54,6 +54,8 @@ U = np.uint64
 SLICES = 4
 #: Rounds of leaders before what is left is enumerated; the result does not depend on it.
 ROUNDS = 1
+#: Tokens sent to Spark at once, so that its buffers outside the heap stay small.
+SENT = 1 << 16
 
 
 def _missing(a: int, percent: int) -> int:
@@ -68,6 +70,7 @@ def _signatures(width: int, percent: int):
     """(uid, text bytes, id) -> (uid, n, s1, s2, prefix, id): set size, set signature, hash-order prefix."""
 
     def scan(batches):
+        let_go()
         for b in batches:
             uid = b.column(0)
             n, s1, s2, pre = [], [], [], []
@@ -90,18 +93,21 @@ def _explode_tokens_of(uid_name: str, tokens_name: str):
     """(uid, packed tokens) -> (h, uid)."""
 
     def scan(batches):
+        let_go()
         for b in batches:
             uid = b.column(uid_name).to_numpy(zero_copy_only=False)
             pre = b.column(tokens_name).to_pylist()
             n = np.array([len(p) // 8 for p in pre], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(pre), np.int64)), pa.array(np.repeat(uid, n))], names=["h", "uid"])
+            h, of = np.frombuffer(b"".join(pre), np.int64), np.repeat(uid, n)
+            for at in range(0, len(h), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at:at + SENT]), pa.array(of[at:at + SENT])], names=["h", "uid"])
         give_back_memory()
     return scan
 
 
 def _sets(width: int):
     def scan(batches):
+        let_go()
         for b in batches:
             sets = []
             for _, part in buffers([t or b"" for t in b.column(1).to_pylist()]):
@@ -115,6 +121,7 @@ def _verify(percent: int):
     """(a, b, ta, tb) -> linked pairs; the reverse order's prefixes must meet before the sets are intersected."""
 
     def scan(batches):
+        let_go()
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3)):

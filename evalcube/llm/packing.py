@@ -32,10 +32,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back_memory, partition_id, stage, with_uid
+from .common import give_back_memory, held, partition_id, stage, with_uid
 from .shingles import buffers, words_of
 
-_tokenizers: dict[str, object] = {}
 #: Words whose ids a worker remembers before it starts anew.
 WORD_CACHE = 700_000
 _PLAIN = regex.compile(r"(\p{L}+)([^\s\p{L}\p{N}]*)")
@@ -139,9 +138,7 @@ class WordIds:
 
 
 def tokenizer(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+    return held(("tokenizer", path), lambda: WordIds(path))
 
 
 def _pieces(path: str, size: int, end_id: int, with_ids: bool):

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from evalcube.llm import bytescan, shingles, suffix_dedup
+from evalcube.llm import bytescan, common, ngram_join, shingles, suffix_dedup
 from evalcube.llm.common import list_array
 
 
@@ -36,3 +36,33 @@ def test_strings_of_a_batch_by_part():
         got[p, h] = got.get((p, h), 0) + 1
     assert sorted(got.values()) == [1] * (1101 + 501) + [2] * 1101
     assert {p for (p, _), k in got.items() if k == 2} == {5}
+
+
+def test_join_lets_go_of_what_other_scans_keep():
+    assert common.held("large", lambda: [1]) is common.held("large", lambda: [2])
+    text = " ".join(f"w{i}" for i in range(30)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text], pa.binary()), pa.array([1])], names=["uid", "raw", "id"])
+    list(ngram_join._signatures(5, 80)(iter([batch])))
+    assert common.held("large", lambda: [2]) == [2]
+    common.let_go()
+
+
+def test_tables_of_long_buffers_go_with_their_task(monkeypatch):
+    monkeypatch.setattr(bytescan, "_tables", {})
+    long = np.frombuffer(b"some words of a long text " * 20_000, np.uint8)
+    before = bytescan.WindowHash(long).at(np.arange(9), 300_000)
+    common.give_back_memory()
+    assert not bytescan._tables
+    assert (bytescan.WindowHash(long).at(np.arange(9), 300_000) == before).all()
+
+
+def test_tokens_are_sent_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SENT", 100)
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 62, n) for n in (130, 0, 250)]
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 4, 5]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["uid", "tokens"])
+    out = list(ngram_join._explode_tokens_of("uid", "tokens")(iter([batch])))
+    assert max(b.num_rows for b in out) == 100
+    got = pa.Table.from_batches(out)
+    assert got.column("h").to_pylist() == [x for s in sets for x in s.tolist()]
+    assert got.column("uid").to_pylist() == [3] * 130 + [5] * 250
