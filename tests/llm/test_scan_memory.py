@@ -66,3 +66,31 @@ def test_tokens_are_sent_in_parts(monkeypatch):
     got = pa.Table.from_batches(out)
     assert got.column("h").to_pylist() == [x for s in sets for x in s.tolist()]
     assert got.column("uid").to_pylist() == [3] * 130 + [5] * 250
+
+
+def test_short_texts_share_a_scan():
+    rng = np.random.default_rng(5)
+    shared = bytes(rng.integers(97, 123, 1200, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) + shared[:k] for n, k in zip(rng.integers(401, 3000, 40), range(0, 1200, 30))]
+    kept = [np.unique(suffix_dedup.anchors(np.frombuffer(t, np.uint8), 256)[:len(t) - 399])[::2].astype(np.int32) for t in texts]
+
+    def batch(rows):
+        n = [len(kept[i]) for i in rows]
+        full = [kept[i][::3] for i in rows]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array([texts[i] for i in rows], pa.binary()),
+             list_array(np.concatenate([kept[i] for i in rows]), n, pa.int32()),
+             list_array(np.concatenate(full), [len(x) for x in full], pa.int32())], names=["uid", "raw", "kept", "full"])
+
+    every, alone = batch(list(range(40))), [batch([i]) for i in range(40)]
+
+    def rows(scan, batches, *columns):
+        return pa.Table.from_batches(list(scan(iter([b.select(["uid", "raw", "kept", *columns]) for b in batches])))).to_pylist()
+
+    # as one by one, whatever stands beside a text
+    assert rows(suffix_dedup._node_rows(400, 256), [every]) == rows(suffix_dedup._node_rows(400, 256), alone)
+    assert rows(suffix_dedup._kept_prints(400, 256), [every]) == rows(suffix_dedup._kept_prints(400, 256), alone)
+    assert rows(suffix_dedup._open_masks(400, 256), [every], "full") == rows(suffix_dedup._open_masks(400, 256), alone, "full")
+    symbols = suffix_dedup._symbol_rows(400, 256)
+    assert {tuple(r.values()) for r in rows(symbols, [every])} == {tuple(r.values()) for r in rows(symbols, alone)}
+    assert len(list(symbols(iter([every.select(["uid", "raw", "kept"])])))) <= 2
